@@ -533,7 +533,7 @@ class Parser:
         while self.value != "impl":
             self.i += 1
         self.i += 1
-        if self.value == "<" and not (self.ahead() == "" and False):
+        if self.value == "<":
             self.skip_angles()
         self.take("const")
         self.take("!")
@@ -805,7 +805,7 @@ class Parser:
             close = self.match[self.i]
             inner = self.arguments()
             comma = self.tokens[close - 1][1] == ","
-            return inner[0] if len(inner) == 1 and not comma else Node("Tuple", start, self.end, inner)
+            return Node("Paren" if len(inner) == 1 and not comma else "Tuple", start, self.end, inner)
         if value == "[":
             return Node("Array", start, self.tokens[self.match[self.i]][3], self.arguments())
         if value == "{":
@@ -965,7 +965,7 @@ class Parser:
 
     def _break(self, start: int) -> Node:
         self.i += 1
-        if self.kind == "life" and not (self.ahead() == ":" and False):
+        if self.kind == "life":
             self.i += 1
         return Node("Break", start, self.end, [self.expression()] if self._starts_expression() else [])
 

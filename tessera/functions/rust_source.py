@@ -9,7 +9,7 @@ from .rust_parser import parse
 
 _BRANCHES = frozenset("If While For Loop".split())
 #: Kinds that a shape leaves out, and kinds whose insides it leaves out.
-_SILENT, _OPAQUE = frozenset({"Semi"}), frozenset("Async Break Return Macro Range Continue Closure".split()) - {"Return", "Closure"}
+_SILENT, _OPAQUE = frozenset({"Semi", "Paren"}), frozenset("Async Break Macro Range Continue".split())
 
 
 def metrics(block: Node) -> dict:

@@ -183,7 +183,7 @@ class Parser:
     def declaration(self, start: int) -> Node | None:
         """Declarations that begin with a word that may also be a name."""
         word, (kind, after, newline) = self.value, self.peek()
-        if word in ("var", "const", "let") and (word != "let" or kind == "name" and after not in ("in", "instanceof", "of") or after in ("[", "{")):
+        if word in ("var", "const", "let") and (word != "let" or kind == "name" and after not in ("in", "instanceof") or after in ("[", "{")):
             if word == "const" and after == "enum":
                 self.next()
                 return self._enum(start)
