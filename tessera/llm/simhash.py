@@ -160,10 +160,166 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- near copies at five words and a similarity of 0.8 ---------------------------------------------
+#
+# Texts that share 0.8 of their five-word shingles differ in some 8 of 64 SimHash bits of the
+# shingles: no byte need agree.  They share nearly all their *words*, though, so the index of this
+# stage posts a wide fingerprint (256 bits, 32 positional bytes) of the distinct words, and what it
+# proposes is verified on the five-word shingles themselves.
+
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Conjunctions of four positional bytes that are posted, and wide bits in which candidates may differ.
+#: A pair at similarity 0.8 keeps about 18 of its bytes and so meets in some 7 of 80 lists.
+WIDE_BYTES, N_LISTS, LIST_BYTES, WIDE_BITS = 32, 80, 4, 64
+#: The columns of a wide fingerprint, eight bytes each.
+WIDE = ("w0", "w1", "w2", "w3")
+#: Members up to which a list's remaining pairs are all tried; beyond it, neighbours in two sort orders are.
+NEAR_CAP, NEIGHBOURS = 48, 4
+#: Candidate texts whose numbers are broadcast (8 bytes each); more are found by a join.
+BROADCAST_TEXTS = 4_000_000
+
+
+def wide_positions() -> list[tuple[int, ...]]:
+    """Byte positions of each list: arithmetic progressions over the positions, spread evenly."""
+    every = dict.fromkeys(tuple(sorted((start + k * stride) % WIDE_BYTES for k in range(LIST_BYTES))) for start in range(WIDE_BYTES) for stride in (1, 3, 5, 7, 9, 11, 13, 15))
+    every = [p for p in every if len(set(p)) == LIST_BYTES]
+    return [every[k * len(every) // N_LISTS] for k in range(N_LISTS)]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def _text_hash(words: list[bytes]) -> int:
+    """63-bit hash of a text's lower-cased words: equal for exact copies."""
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED) >> 1
+
+
+def wide_fingerprint(words: list[bytes]) -> tuple[int, ...]:
+    """256-bit SimHash of the distinct words, as four signed longs."""
+    distinct = list(set(words))
+    if not distinct:
+        return (0,) * len(WIDE)
+    digest = xxhash.xxh128_digest
+    ones = []
+    for seed in (SEED, SEED + 1):
+        raw = np.frombuffer(b"".join([digest(w, seed) for w in distinct]), dtype=np.uint8).reshape(-1, 16)
+        total = np.zeros(128, dtype=np.int64)
+        for start in range(0, len(raw), 1 << 15):
+            total += np.unpackbits(raw[start : start + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
+        ones.append(total)
+    return tuple(np.frombuffer(np.packbits(np.concatenate(ones) * 2 > len(distinct)).tobytes(), dtype=">i8").tolist())
+
+
+def shingle_hashes(text: str | None) -> list[int]:
+    """Distinct 63-bit hashes of the five-word shingles (the whole sequence where there are fewer words)."""
+    words = _words(text)
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE))))) if len(words) > NEAR_SHINGLE else [b" ".join(words)]
+    return list({xxhash.xxh64_intdigest(g, SEED) >> 1 for g in grams})
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, w0..w3) of every row."""
+
+    def kernel():
+        def one(doc_id, text):
+            words = _words(text)
+            return [(doc_id, _text_hash(words), *wide_fingerprint(words))]
+
+        return one
+
+    return map_rows(docs, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "text_hash long, " + ", ".join(f"{c} long" for c in WIDE)))
+
+
+def _lists(texts: DataFrame) -> DataFrame:
+    """(slot, bytes, id, n): postings of lists with two members or more, n being the list's length."""
+
+    def key(positions):
+        parts = [_byte(F.col(WIDE[p // 8]), 7 - p % 8) for p in positions]
+        return F.shiftleft(parts[0], 24).bitwiseOR(F.shiftleft(parts[1], 16)).bitwiseOR(F.shiftleft(parts[2], 8)).bitwiseOR(parts[3])
+
+    postings = F.array(*[F.struct(F.lit(k).cast("short").alias("slot"), key(p).alias("bytes")) for k, p in enumerate(wide_positions())])
+    posted = texts.select("id", F.explode(postings).alias("p")).select("id", "p.slot", "p.bytes")
+    lengths = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return posted.join(lengths, ["slot", "bytes"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text ids whose five-word shingles reach the similarity."""
+    wide = texts.select("id", *WIDE)
+    near = pairs.join(wide.toDF("a", *[f"a_{c}" for c in WIDE]), "a").join(wide.toDF("b", *[f"b_{c}" for c in WIDE]), "b")
+    differing = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in WIDE)
+    pairs = materialize(near.where(differing <= WIDE_BITS).select("a", "b"), "dedup-pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(texts.select("id", "first"), "id"), "dedup-wanted")
+    # each text is read from one document that has it
+    count = wanted.count()
+    if count <= BROADCAST_TEXTS:
+        chosen = docs.sparkSession.sparkContext.broadcast({r["first"]: None for r in wanted.select("first").toLocalIterator()})
+        source = docs
+    else:
+        chosen = None
+        source = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+
+    def kernel():
+        firsts = chosen.value if chosen is not None else None
+        return lambda doc_id, text: [(doc_id, _text_hash(_words(text)), shingle_hashes(text))] if firsts is None or doc_id in firsts else []
+
+    sets = map_rows(source, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "id long, grams array<long>"))
+    sets = wanted.join(sets.withColumnRenamed("doc_id", "first"), ["id", "first"]).dropDuplicates(["id"])
+    grams = materialize(sets.select("id", "grams"), "dedup-grams")
+    both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where(common >= SIMILARITY * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+
+
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, component_id): groups of near copies, component_id being the smallest doc_id reachable.
+
+    Equal texts are one row from the start.  Each list first ties its members to the text with the
+    most copies (families are variants of one text), which takes as many pairs as postings; pairs of
+    members that are still apart are then tried in full, or, in lists beyond ``NEAR_CAP``, between
+    neighbours in two sort orders.
+    """
+    rows = materialize(_digests(docs), "dedup-digests")
+    texts = rows.groupBy(F.col("text_hash").alias("id")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in WIDE])
+    texts = materialize(texts, "dedup-texts")
+    lists = materialize(_lists(texts), "dedup-lists")
+    ranked = lists.join(texts.select("id", "copies"), "id")
+    centre = ranked.groupBy("slot", "bytes").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"))
+    spokes = lists.join(centre, ["slot", "bytes"]).where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
+    roots = _roots(texts, tied)
+    apart = lists.join(roots, "id")
+    mixed = apart.groupBy("slot", "bytes").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("slot", "bytes")
+    apart = materialize(apart.join(mixed, ["slot", "bytes"]), "dedup-apart")
+    short = apart.where(F.col("n") <= NEAR_CAP).groupBy("slot", "bytes").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
+    heads = short.select("m", F.posexplode("m").alias("i", "p"))
+    every = heads.select("p", F.explode(F.slice("m", F.col("i") + 2, NEAR_CAP)).alias("q")).where("p.root <> q.root").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    crowded = apart.where(F.col("n") > NEAR_CAP).join(texts.select("id", *WIDE), "id")
+    for order in (WIDE[0], WIDE[2]):
+        w = W.partitionBy("slot", "bytes").orderBy(order, "id")
+        for k in range(1, NEIGHBOURS + 1):
+            beside = crowded.select("id", "root", F.lead("id", k).over(w).alias("other"), F.lead("root", k).over(w).alias("other_root"))
+            every = every.unionByName(beside.where("other IS NOT NULL AND root <> other_root").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+    rest = _verified(every.distinct(), docs, texts)
+    roots = _roots(texts, materialize(tied.unionByName(rest), "dedup-links"))
+    grouped = roots.join(texts.select("id", "first"), "id")
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = grouped.join(smallest, "root").select(F.col("id").alias("text_hash"), "component_id")
+    return rows.select("doc_id", "text_hash").join(named, "text_hash")
+
+
+def _roots(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root) of every text."""
+    if edges.isEmpty():
+        return texts.select("id", F.col("id").alias("root"))
+    found = components(edges)
+    return texts.select("id").join(found, texts["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one row of each component stays (its smallest doc_id), with the same columns."""
-    fps = materialize(fingerprints(docs), "dedup-fingerprints")
-    found = near_duplicates(fps)
+    """Pipeline stage: one row of each group of near copies stays (its smallest doc_id), with the same columns."""
+    found = near_copy_groups(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     keep = materialize(keep.select(F.col("doc_id").alias("__keep"), "n"), "dedup-keep")
     # the kept ids are the build side; texts stream past unsorted
