@@ -40,6 +40,8 @@ LONGEST_PIECE, LONGEST_WORD, FLOOR = 8, 40, 4.0
 #: Words whose lattices are held at once; memory is this times word length times languages.
 BLOCK = 5_000
 _LETTERS = regex.compile(r"\p{L}+")
+#: ASCII punctuation and digits that are taken off a chunk before it is looked at as a word.
+_EDGES = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 
 
 def pieces(vocabulary: str = VOCABULARY) -> dict[str, int]:
@@ -145,49 +147,69 @@ def fit(samples: dict[str, Counter], vocabulary: dict[str, int], rounds: int = R
 
 
 class Scorer:
-    """Scores whole texts with a bounded memo of white-space separated chunks."""
+    """Scores whole texts.
 
-    def __init__(self, model: PieceModel, cap: int = 150_000):
+    Words have rows in one matrix (log-likelihood by language under the best, and a count); a chunk
+    between white space names the row of its word, so "Word," and "word" share one.  Memory is
+    bounded: past ``cap`` rows everything is forgotten and learned again, which changes no score.
+    """
+
+    def __init__(self, model: PieceModel, cap: int = 250_000):
         self.model, self.cap = model, cap
-        self.rows: dict[str, tuple[float, ...] | None] = {}
-        self.old: dict[str, tuple[float, ...] | None] = {}
+        self._forget()
 
-    def _add(self, chunks: list[str]) -> None:
-        """Score chunks that are not known yet."""
-        found = [_LETTERS.findall(c.lower()) for c in chunks]
-        words = list({w for ws in found for w in ws})
-        scores: dict[str, np.ndarray] = {}
+    def _forget(self) -> None:
+        self.word_row: dict[str, int] = {}
+        self.chunk_row: dict[str, int] = {"": 0}
+        self.matrix = np.zeros((1, len(self.model.languages) + 1))
+
+    def _add_words(self, words: list[str]) -> None:
+        parts = [self.matrix]
         for i in range(0, len(words), BLOCK):
             block = self.model.words(words[i : i + BLOCK])
             block = np.maximum(block - block.max(axis=1, keepdims=True), -FLOOR)
-            scores.update(zip(words[i : i + BLOCK], block.tolist()))
-        rows = self.rows
-        for chunk, ws in zip(chunks, found):
-            rows[chunk] = tuple(scores[ws[0]]) if len(ws) == 1 else tuple(map(sum, zip(*(scores[w] for w in ws)))) if ws else None
+            parts.append(np.hstack([block, np.ones((len(block), 1))]))
+        self.word_row.update(zip(words, range(len(self.matrix), len(self.matrix) + len(words))))
+        self.matrix = np.concatenate(parts)
+
+    def _add(self, chunks: list[str]) -> None:
+        """Rows for chunks that are not known yet; the rare chunk of several words has one of its own."""
+        several, plain = [], []
+        for chunk in chunks:
+            word = chunk.strip(_EDGES).lower()
+            if word.isalpha():
+                plain.append((chunk, word))
+            else:
+                several.append((chunk, _LETTERS.findall(word)))
+        wanted = {w for _, w in plain}.union(*(ws for _, ws in several))
+        self._add_words(list(wanted - self.word_row.keys()))
+        rows = self.word_row
+        self.chunk_row.update([(c, rows[w]) for c, w in plain])
+        made = []
+        for chunk, words in several:
+            if len(words) > 1:
+                made.append(self.matrix[[rows[w] for w in words]].sum(axis=0))
+                self.chunk_row[chunk] = len(self.matrix) + len(made) - 1
+            else:
+                self.chunk_row[chunk] = rows[words[0]] if words else 0
+        if made:
+            self.matrix = np.concatenate([self.matrix, made])
 
     def score_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [("und", 0.0)] * len(texts)
         split = [(t or "").split() for t in texts]
-        rows, old, fresh = self.rows, self.old, []
-        if len(rows) > self.cap:
-            self.old, self.rows = rows, {}
-            rows, old = self.rows, self.old
-        for chunk in set().union(*split) - rows.keys():
-            if chunk in old:
-                rows[chunk] = old[chunk]
-            else:
-                fresh.append(chunk)
-        self._add(fresh)
-        out = []
+        if len(self.matrix) > self.cap or len(self.chunk_row) > 2 * self.cap:
+            self._forget()
+        self._add(list(set().union(*split) - self.chunk_row.keys()))
+        out, row_of, matrix = [], self.chunk_row.__getitem__, self.matrix
         for chunks in split:
-            scored = [r for r in map(rows.__getitem__, chunks) if r is not None]
-            if not scored:
+            total = matrix[np.fromiter(map(row_of, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
+            if not total[-1]:
                 out.append(("und", 0.0))
                 continue
-            total = list(map(math.fsum, zip(*scored)))
-            best = max(range(len(total)), key=lambda k: (total[k], -k))
-            out.append((self.model.languages[best], 1 / math.fsum(math.exp(t - total[best]) for t in total)))
+            best = int(total[:-1].argmax())
+            out.append((self.model.languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())))
         return out
 
 
