@@ -25,12 +25,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct as _struct
 import unicodedata
 
 import ahocorasick
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import WordCache, kept, map_rows, table, with_key
@@ -41,6 +41,29 @@ VOCABULARY = "word_bpe_49k.json"
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+# Letters and numbers that Unicode 16.0 added, which the vocabulary's own library knows
+# and this Python's tables may not.
+NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Capitals that are newer still, and their small letters.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def category_ranges(letter: str) -> str:
+    """The code points of a general category (``L``, ``N``) as the inside of a character class."""
+    added = {"L": NEW_LETTERS, "N": NEW_NUMBERS}[letter].split()
+    new = {p for r in added for p in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1)}
+    out, start = [], None
+    for point in range(0x110000 + 1):
+        inside = point < 0x110000 and (unicodedata.category(chr(point))[0] == letter or point in new)
+        if inside and start is None:
+            start = point
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}" + (f"-\\U{point - 1:08x}" if point - 1 > start else ""))
+            start = None
+    return "".join(out)
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies (public rule)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -137,13 +160,13 @@ class WordTokenizer:
         self.bpe = PrefixBPE(model["vocab"], merges, suffix)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.name = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", WHITE))
+        self.pieces = re.compile(pattern.replace(r"\s", WHITE).replace(r"\p{L}", category_ranges("L")).replace(r"\p{N}", category_ranges("N")))
         self.alphabet = byte_alphabet()
-        self.chunks = regex.compile(f"[^{WHITE}]+")
-        self.odd_space = regex.compile("[\x1c-\x1f]")
+        self.chunks = re.compile(f"[^{WHITE}]+")
+        self.odd_space = re.compile("[\x1c-\x1f]")
         self.words = WordCache(self._word, 100_000)
         self.cache = WordCache(self._chunk, 150_000)
 
@@ -153,7 +176,9 @@ class WordTokenizer:
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         # lower() looks at the context of a capital sigma; the file lower-cases single characters
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        plain = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
+        if not plain.isascii():
+            plain = plain.translate(NEW_CAPITALS)
         ids = [i for piece in self.pieces.findall(plain) for i in self.words[piece]]
         return _struct.pack(f"<{len(ids)}I", *ids), " ".join([self.name[i] for i in ids]).encode()
 
