@@ -156,10 +156,12 @@ p AS (
 ), l AS (
     SELECT *, 6 + tok AS def_line, 5 + tok + len AS end_line FROM f
 ), sized AS (
-    SELECT *, end_line + CASE WHEN k % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 9 = 0 THEN 4 ELSE 0 END + 1 AS lines FROM l
+    SELECT *, end_line + CASE WHEN k % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 9 = 0 THEN 4 ELSE 0 END + 1 AS helper_line,
+           helper_line + CASE WHEN k % 13 = 0 THEN 12 ELSE 0 END AS lines, 1 + (k % 5 = 0)::INT + (k % 13 = 0)::INT AS n_functions FROM l
 ), fn AS (
     SELECT k, 'run_' || k AS name, cc, cog, n AS depth, 2 AS params, len AS lines, file, def_line AS line, is_test, FALSE AS is_method FROM l
     UNION ALL SELECT k, 'size', 1, 0, 0, 0, 2, file, end_line + 2, is_test, TRUE FROM l WHERE k % 5 = 0
+    UNION ALL SELECT k, 'shared_helper', 1, 0, 0, 1, 12, file, helper_line, is_test, FALSE FROM sized WHERE k % 13 = 0
 )"""
 _C = """
 c AS (
@@ -196,8 +198,8 @@ ORACLE_SQL = {
     "py_largest_functions": f"WITH {_P} SELECT name, lines::BIGINT AS lines, file, line::BIGINT AS line, is_method FROM fn ORDER BY fn.lines DESC, name, file, line LIMIT 30",
     "py_classes": f"WITH {_P} SELECT 'Box_' || k AS name, 3::BIGINT AS lines, 1::BIGINT AS methods, file, (end_line + 1)::BIGINT AS line FROM l WHERE k % 5 = 0",
     "py_file_inventory": f"WITH {_P} SELECT file, lines::BIGINT AS lines FROM sized",
-    "py_summary": f"WITH {_P} SELECT count(*)::BIGINT AS files, count(*)::BIGINT AS files_parsed, 0::BIGINT AS parse_errors, sum(lines)::BIGINT AS lines, (count(*) + count(*) FILTER (k % 5 = 0))::BIGINT AS functions, (count(*) FILTER (k % 5 = 0))::BIGINT AS classes, count(*)::BIGINT AS internal_imports FROM sized",
-    "py_test_prod_split": f"""WITH {_P}, x AS (SELECT sum(lines) FILTER (is_test)::BIGINT AS tl, sum(lines) FILTER (NOT is_test)::BIGINT AS pl, sum(1 + (k % 5 = 0)::INT) FILTER (is_test)::BIGINT AS tf, sum(1 + (k % 5 = 0)::INT) FILTER (NOT is_test)::BIGINT AS pf FROM sized)
+    "py_summary": f"WITH {_P} SELECT count(*)::BIGINT AS files, count(*)::BIGINT AS files_parsed, 0::BIGINT AS parse_errors, sum(lines)::BIGINT AS lines, sum(n_functions)::BIGINT AS functions, (count(*) FILTER (k % 5 = 0))::BIGINT AS classes, count(*)::BIGINT AS internal_imports FROM sized",
+    "py_test_prod_split": f"""WITH {_P}, x AS (SELECT sum(lines) FILTER (is_test)::BIGINT AS tl, sum(lines) FILTER (NOT is_test)::BIGINT AS pl, sum(n_functions) FILTER (is_test)::BIGINT AS tf, sum(n_functions) FILTER (NOT is_test)::BIGINT AS pf FROM sized)
         SELECT tl AS test_lines, pl AS production_lines, tf AS test_functions, pf AS production_functions, round(tl / (tl + pl), 6) AS line_ratio_test, round(tf / (tf + pf), 6) AS function_ratio_test FROM x""",
     "py_top_imported": f"WITH {_P} SELECT target AS module, count(*)::BIGINT AS count FROM f GROUP BY target",
     "py_edge_count": f"WITH {_P} SELECT count(DISTINCT module)::BIGINT AS modules, count(DISTINCT (module, target))::BIGINT AS edges FROM f",
@@ -208,10 +210,11 @@ ORACLE_SQL = {
             UNION ALL SELECT w.start, f.t, list_append(w.path, f2.module), list_append(w.ks, f.t) FROM walk w JOIN f ON f.k = w.at JOIN f f2 ON f2.k = f.t WHERE f.t <> w.start AND NOT list_contains(w.ks, f.t)
         ), closed AS (SELECT w.path FROM walk w JOIN f ON f.k = w.at WHERE f.t = w.start)
         SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle FROM closed WHERE path[1] = list_min(path)""",
-    "py_dead_exports": f"""WITH {_P}, e AS (SELECT k, module, 'limit' AS name FROM f UNION ALL SELECT k, module, 'token' FROM f WHERE k % 11 = 0 UNION ALL SELECT k, module, 'run_' || k FROM f UNION ALL SELECT k, module, 'Box_' || k FROM f WHERE k % 5 = 0)
+    "py_dead_exports": f"""WITH {_P}, e AS (SELECT k, module, 'limit' AS name FROM f UNION ALL SELECT k, module, 'token' FROM f WHERE k % 11 = 0 UNION ALL SELECT k, module, 'run_' || k FROM f UNION ALL SELECT k, module, 'Box_' || k FROM f WHERE k % 5 = 0 UNION ALL SELECT k, module, 'shared_helper' FROM f WHERE k % 13 = 0)
         SELECT module, name FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.t = e.k AND e.name = 'run_' || f.t)""",
-    "py_structural_clones": f"WITH {_P} SELECT count(*)::BIGINT AS count, min('run_' || k) AS first_name, max('run_' || k) AS last_name, sum(len)::BIGINT AS total_lines FROM f WHERE len > 10 GROUP BY n, b, pad HAVING count(*) > 1",
-    "py_exact_clones": f"WITH {_P} SELECT count(*)::BIGINT AS count, min('run_' || k) AS first_name, max('run_' || k) AS last_name, sum(len)::BIGINT AS total_lines FROM f WHERE len > 10 GROUP BY n, b, pad, k HAVING count(*) > 1",
+    "py_structural_clones": f"""WITH {_P}, c AS (SELECT 'run_' || k AS name, len, n || ' ' || b || ' ' || pad AS shape FROM f UNION ALL SELECT 'shared_helper', 12, 'helper' FROM f WHERE k % 13 = 0)
+        SELECT count(*)::BIGINT AS count, min(name) AS first_name, max(name) AS last_name, sum(len)::BIGINT AS total_lines FROM c WHERE len > 10 GROUP BY shape HAVING count(*) > 1""",
+    "py_exact_clones": f"WITH {_P} SELECT count(*)::BIGINT AS count, 'shared_helper' AS first_name, 'shared_helper' AS last_name, (12 * count(*))::BIGINT AS total_lines FROM f WHERE k % 13 = 0 HAVING count(*) > 1",
     "py_todo_audit": f"""WITH {_P}, m AS (SELECT ['TODO', 'FIXME', 'HACK', 'XXX'][k // 4 % 4 + 1] AS tag, file || ':3' AS loc, file FROM f WHERE k % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY file) AS r FROM m)
         SELECT tag, count(*)::BIGINT AS count, {_SAMPLES} AS samples FROM r GROUP BY tag""",
     "py_decorators": f"WITH {_P} SELECT CASE WHEN k % 8 = 0 THEN 'router.' || ['get', 'post', 'put', 'delete', 'patch'][k % 5 + 1] ELSE 'cached' END AS decorator, count(*)::BIGINT AS count FROM f GROUP BY 1",
@@ -267,7 +270,7 @@ ORACLE_SQL = {
             UNION ALL (SELECT 'max-nesting', depth, 2, name, file, line FROM fn WHERE depth > 2 ORDER BY fn.depth DESC, name, file, line LIMIT 1)
             UNION ALL (SELECT 'max-lines', lines, 12, name, file, line FROM fn WHERE lines > 12 ORDER BY fn.cc DESC, name, file, line LIMIT 1))
         SELECT gate, value::BIGINT AS value, lim::BIGINT AS "limit", name, file, line::BIGINT AS line FROM x""",
-    "multi_summary": f"""SELECT 'python' AS lang, files, lines, functions FROM (WITH {_P} SELECT count(*)::BIGINT AS files, sum(lines)::BIGINT AS lines, (count(*) + count(*) FILTER (k % 5 = 0))::BIGINT AS functions FROM sized)
+    "multi_summary": f"""SELECT 'python' AS lang, files, lines, functions FROM (WITH {_P} SELECT count(*)::BIGINT AS files, sum(lines)::BIGINT AS lines, sum(n_functions)::BIGINT AS functions FROM sized)
         UNION ALL SELECT 'typescript', files, lines, functions FROM (WITH {_C} SELECT count(*)::BIGINT AS files, sum(catch_line + (k % 9 = 0)::INT + (k % 12 = 0)::INT)::BIGINT AS lines, sum(1 + k % 2 + (k % 10 = 1)::INT)::BIGINT AS functions FROM sized)
         UNION ALL SELECT 'rust', files, lines, functions FROM (WITH {_R} SELECT count(*)::BIGINT AS files, sum(run_end + 1)::BIGINT AS lines, (2 * count(*))::BIGINT AS functions FROM l)""",
     **tables.SQL,

@@ -33,6 +33,7 @@ PYTHON_LINES = [
     ("TRUE", "'    return a'"),
     ("k % 5 = 0", "'class Box_' || k || ':\n    def size(self):\n        return 1'"),
     ("k % 9 = 0", "'try:\n    run_' || k || '(1)\nexcept Exception:\n    pass'"),
+    ("k % 13 = 0", "'def shared_helper(x):\n' || repeat('    x = x + 1\n', 10) || '    return x'"),
 ]
 
 TYPESCRIPT_LINES = [
