@@ -119,24 +119,19 @@ _SHAPE_LEAVES = {"Constant": "LIT", "Name": "NAME", "Slice": "EXPR", "TypeAlias"
 def shape(body: list[ast.stmt]) -> str:
     """Pre-order node types: equal for bodies that differ in names, constants and operators only."""
     out: list[str] = []
-
-    def walk(node: ast.AST) -> None:
+    todo: list[ast.AST] = list(reversed(body))
+    while todo:
+        node = todo.pop()
         name = type(node).__name__
         if name in _SHAPE_LEAVES:
             out.append(_SHAPE_LEAVES[name])
-            return
+            continue
         if isinstance(node, (ast.stmt, ast.expr)):
             out.append(name)
         skipped = _SHAPE_SKIPS.get(name, ())
-        for field, value in ast.iter_fields(node):
-            if field in skipped:
-                continue
-            for child in value if isinstance(value, list) else (value,):
-                if isinstance(child, (ast.stmt, ast.expr, ast.comprehension, ast.keyword, ast.match_case)):
-                    walk(child)
-
-    for statement in body:
-        walk(statement)
+        values = (value for field, value in ast.iter_fields(node) if field not in skipped)
+        kids = [c for v in values for c in (v if isinstance(v, list) else (v,)) if isinstance(c, (ast.stmt, ast.expr, ast.comprehension, ast.keyword, ast.match_case))]
+        todo.extend(reversed(kids))
     return "|".join(out)
 
 
@@ -152,7 +147,14 @@ def count_params(args: ast.arguments, is_method: bool) -> int:
 
 
 def decorator_text(node: ast.expr) -> str:
-    return "@" + ast.unparse(node)
+    return "@" + _source_of(node)
+
+
+def _source_of(node: ast.expr) -> str:
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return "..."
 
 
 def mutable_defaults(node, qualname: str) -> list[dict]:
@@ -171,7 +173,7 @@ def route(node, qualname: str) -> dict | None:
             first = decorator.args[0] if decorator.args else None
             path = first.value if isinstance(first, ast.Constant) and isinstance(first.value, str) else ""
             calls = (c for s in node.body for c in ast.walk(s) if isinstance(c, ast.Call))
-            depends = [ast.unparse(c.args[0]) for c in calls if isinstance(c.func, ast.Name) and c.func.id == "Depends" and c.args]
+            depends = [_source_of(c.args[0]) for c in calls if isinstance(c.func, ast.Name) and c.func.id == "Depends" and c.args]
             return {"method": decorator.func.attr.upper(), "path": path, "handler": qualname, "line": node.lineno, "dependencies": depends}
     return None
 

@@ -158,3 +158,8 @@ def test_test_paths(path, is_test):
 def test_module_ids():
     assert module_id("sub/__init__.py", "pkg") == "pkg.sub"
     assert module_id("a/b.py", "pkg") == "pkg.a.b"
+
+
+def test_long_chains_do_not_recurse():
+    f = facts("def f(a):\n    return " + " + ".join(["a"] * 900) + "\n")
+    assert f["parse_error"] is None and f["functions"][0]["complexity"] == 1
