@@ -31,7 +31,7 @@ from .common import WordCache, kept, map_texts, table, with_key
 
 #: Bounds of the labelled sample, n-gram sizes, buckets, embedding width, words a window.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 1800
-GRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5), 1 << 16, 8, 4
+GRAMS, BUCKETS, WIDTH, WINDOW = (3, 4, 5), 1 << 16, 8, 6
 ROUNDS, EPOCHS, RATE = 4, 3, 0.05
 THRESHOLD = 0.3
 #: Windows of a clean text that enter one round of training: the worst ones and a spread of others.
@@ -54,9 +54,11 @@ class Model:
 
     def __init__(self, bucket_scores: np.ndarray, scale: float, shift: float, background: float):
         self.bucket_scores, self.scale, self.shift, self.background = bucket_scores, scale, shift, background
+        self._scores = bucket_scores.tolist()
 
     def word(self, word: str) -> float:
-        return float(self.bucket_scores[word_buckets(word)].mean())
+        buckets = word_buckets(word)
+        return sum(map(self._scores.__getitem__, buckets)) / len(buckets)
 
 
 def worst_windows(scores: np.ndarray, width: int = WINDOW) -> np.ndarray:
