@@ -134,13 +134,14 @@ def with_base(docs: DataFrame, text: str = "text", prefix: str = "__pii_") -> Da
 FEATURES = ("kind", "length", "digits", "groups", "longest", "dots", "dashes", "spaces", "parens", "letters", "at_sign", "luhn", "context", "against", "glued_before", "glued_after", "first_digit", "zeros")
 
 
-def features(kind: str, value: Column, before: Column, after: Column) -> Column:
-    """struct of doubles: format of a candidate and the words around it."""
+def features(kind: Column, value: Column, before: Column, after: Column) -> Column:
+    """array<double> in the order of FEATURES: a candidate's format and the words around it; ``kind`` is a place in KINDS."""
     count = lambda what: F.regexp_count(value, F.lit(what)).cast("double")
     digits = _digits(value)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    columns = (
-        F.lit(float(KINDS.index(kind))),
+    cues = F.array(*[F.lit(CONTEXT[k]) for k in KINDS])
+    return F.array(
+        kind.cast("double"),
         F.length(value).cast("double"),
         F.length(digits).cast("double"),
         count("[0-9]+"),
@@ -152,14 +153,13 @@ def features(kind: str, value: Column, before: Column, after: Column) -> Column:
         count("[A-Za-z]"),
         flag(F.contains(value, F.lit("@"))),
         flag(F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)),
-        flag(before.rlike(CONTEXT[kind])),
+        flag(F.rlike(before, F.get(cues, kind))),
         flag(before.rlike(AGAINST)),
         flag(before.rlike(r"[A-Za-z0-9_./-]$")),
         flag(after.rlike(r"^[A-Za-z0-9_/-]")),
         F.coalesce(F.substring(digits, 1, 1).try_cast("double"), F.lit(-1.0)),
         F.regexp_count(digits, F.lit("0")).cast("double"),
     )
-    return F.struct(*[c.alias(n) for c, n in zip(columns, FEATURES)])
 
 
 def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -244,21 +244,42 @@ def leaf(tree, row) -> float:
 
 
 class Forest:
-    """A fitted forest and the raw score from which a candidate of each kind is selected."""
+    """A fitted forest and the raw score from which a candidate of each kind is selected.
+
+    Trees are padded to full depth and laid out in three constant arrays, over which one small
+    expression walks: the plan does not grow with the forest.
+    """
 
     def __init__(self, bias: float, trees: list, thresholds: dict[str, float]):
         self.bias, self.trees, self.thresholds = bias, trees, thresholds
 
     def expression(self, f: Column) -> Column:
-        def walk(tree):
-            if not isinstance(tree, tuple):
-                return F.lit(tree)
-            return F.when(f[FEATURES[tree[0]]] < tree[1], walk(tree[2])).otherwise(walk(tree[3]))
+        inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
+        feature, cut, value = [], [], []
+
+        def lay(tree, level: int) -> list:
+            """Nodes by level, left to right."""
+            rows = [[tree]]
+            for _ in range(level):
+                rows.append([side for t in rows[-1] for side in (t[2:] if isinstance(t, tuple) else (t, t))])
+            return rows
 
-        total = F.lit(self.bias)
         for tree in self.trees:
-            total = total + walk(tree)
-        return total
+            rows = lay(tree, DEPTH)
+            for t in (t for row in rows[:-1] for t in row):
+                feature.append(t[0] if isinstance(t, tuple) else 0)
+                cut.append(float(t[1]) if isinstance(t, tuple) else 0.0)
+            value += [float(t) for t in rows[-1]]
+        features_, cuts, values = F.lit(feature), F.lit(cut), F.lit(value)
+
+        def add(total, k):
+            node = F.lit(0)
+            for _ in range(DEPTH):
+                at = k * inner + node
+                node = 2 * node + F.when(F.get(f, F.get(features_, at)) < F.get(cuts, at), 1).otherwise(2)
+            return total + F.get(values, k * leaves + node - inner)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)), F.lit(float(self.bias)), add)
 
 
 _FITTED: dict[tuple, Forest] = {}
@@ -268,11 +289,8 @@ def fit(spark: SparkSession, n: int = TRAINING_ROWS) -> Forest:
     """Fit on generated rows: two thirds train, one third calibrates thresholds; once per process."""
     if (n,) in _FITTED:
         return _FITTED[(n,)]
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(training_rows(n))], "k long, kind string, before string, value string, after string, label int")
-    made = None
-    for kind in KINDS:
-        own = rows.where(F.col("kind") == kind).select("k", "kind", "label", features(kind, F.col("value"), F.col("before"), F.col("after")).alias("f"))
-        made = own if made is None else made.unionByName(own)
+    made = spark.createDataFrame([(k, KINDS.index(r[0]), *r) for k, r in enumerate(training_rows(n))], "k long, number int, kind string, before string, value string, after string, label int")
+    made = made.select("k", "kind", "label", features(F.col("number"), F.col("value"), F.col("before"), F.col("after")).alias("f"))
     data = sorted((r["k"], r["kind"], r["label"], tuple(r["f"])) for r in made.collect())  # n rows, a parameter
     x, y = np.array([r[3] for r in data]), np.array([r[2] for r in data], dtype=float)
     calibrate = np.arange(len(data)) // 8 % 3 == 2
@@ -291,60 +309,65 @@ def fit(spark: SparkSession, n: int = TRAINING_ROWS) -> Forest:
     return _FITTED[(n,)]
 
 
+_CANDIDATE = "array<struct<kind:int,start:int,end:int,value:string>>"
+_ADDED = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _kinded(number: int):
+    return lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+
+
 def find_pii(docs: DataFrame, text: str = "text", prefix: str = "__pii_") -> DataFrame:
-    """``docs`` with ``{prefix}{kind}`` base spans and ``{prefix}more_{kind}`` spans that the trees add."""
+    """``docs`` with ``{prefix}{kind}`` base spans and ``{prefix}added``, the spans (kind number, start, end) that the trees add."""
     forest = fit(docs.sparkSession)
     held = with_base(docs, text, prefix)
     t = F.col(f"{prefix}t")
-    base = F.concat(*[F.col(f"{prefix}{kind}") for kind in KINDS])
     for kind in KINDS:
         held = held.withColumn(f"{prefix}more_{kind}", F.when(t.rlike(GENERATOR_NEEDS[kind]), matches(t, GENERATORS[kind])))
-    held = held.withColumn(f"{prefix}all", base)
-
-    def judge(kind: str):
-        def judged(s):
-            before = F.substring(t, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-            f = features(kind, s["value"], before, F.substring(t, s["end"] + 1, F.lit(1)))
-            return forest.expression(f) >= forest.thresholds[kind]
-
-        return judged
+    proposed = [F.when(F.size(f"{prefix}more_{k}") > 1, F.transform(_located(F.col(f"{prefix}more_{k}")), _kinded(i))).otherwise(F.array().cast(_CANDIDATE)) for i, k in enumerate(KINDS)]
+    held = held.withColumn(f"{prefix}more", F.concat(*proposed)).withColumn(f"{prefix}all", F.concat(*[F.col(f"{prefix}{k}") for k in KINDS]))
 
     def free(s):
         return ~F.exists(f"{prefix}all", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    for kind in KINDS:
-        name = f"{prefix}more_{kind}"
-        held = held.withColumn(name, F.when(F.size(name) > 1, F.filter(F.filter(_located(F.col(name)), free), judge(kind))).otherwise(F.array().cast(_EMPTY)))
-        # kinds go in order: a later one may not overlap what an earlier one added
-        held = held.withColumn(f"{prefix}all", F.when(F.size(name) > 0, F.concat(f"{prefix}all", name)).otherwise(F.col(f"{prefix}all")))
-    return held
+    def scored(s):
+        before = F.substring(t, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
+        return F.struct(features(s["kind"], s["value"], before, F.substring(t, s["end"] + 1, F.lit(1))).alias("f"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
+    def judged(s):
+        return F.struct((forest.expression(s["f"]) - F.get(F.lit([float(forest.thresholds[k]) for k in KINDS]), s["kind"])).alias("margin"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
-def _writer(kind: str):
-    return lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))
+    margins = F.transform(F.transform(F.filter(f"{prefix}more", free), scored), judged)
+    # surest first; a span that overlaps a surer one is left out
+    best = F.array_sort(F.transform(F.filter(margins, lambda s: s["margin"] >= 0), lambda s: F.struct((-s["margin"]).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
+    def pick(taken, s):
+        clash = F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
 
-def _tagger(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag"))
+    added = F.when(F.size(f"{prefix}more") > 0, F.aggregate(best, F.array().cast(_ADDED), pick)).otherwise(F.array().cast(_ADDED))
+    return held.withColumn(f"{prefix}added", added)
 
 
-def _listed(prefix: str, added: bool) -> Column:
-    """kind:start:end by kind, then start, comma-joined."""
-    lists = []
-    for kind in KINDS:
-        spans = F.col(f"{prefix}{kind}")
-        if added:
-            spans = F.when(F.size(f"{prefix}more_{kind}") > 0, F.array_sort(F.concat(spans, F.col(f"{prefix}more_{kind}")))).otherwise(spans)
-        lists.append(F.transform(spans, _writer(kind)))
-    return F.array_join(F.concat(*lists), ",")
+def _base_spans(prefix: str) -> Column:
+    """Base spans as (kind number, start, end), by kind and then start."""
+    number = lambda i: lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    return F.concat(*[F.transform(f"{prefix}{k}", number(i)) for i, k in enumerate(KINDS)])
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Pipeline stage: ``docs`` with every span replaced by ``[KIND]``; overlapping spans become the first's placeholder."""
     p = "__pii_"
     found = find_pii(docs, text, p)
-    tagged = [F.transform(F.concat(F.col(f"{p}{k}"), F.col(f"{p}more_{k}")), _tagger(k)) for k in KINDS]
-    found = found.withColumn(f"{p}all", F.array_sort(F.concat(*tagged)))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    tagged = F.transform(F.concat(_base_spans(p), F.col(f"{p}added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("tag")))
+    found = found.withColumn(f"{p}all", F.array_sort(tagged))
     t = F.col(f"{p}t")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -365,7 +388,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: counts and spans of personal data in every document."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"__pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_listed("__pii_", False), 256).alias("base_sha256"), _listed("__pii_", True).alias("spans"))
+    found = found.select("doc_id", *counts, _base_spans("__pii_").alias("base"), F.col("__pii_added").alias("added"))
+    everything = F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"))).otherwise(F.col("base"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(everything).alias("spans"))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
