@@ -33,8 +33,10 @@ BLOCKS = frozenset(
 )
 DROPPED = frozenset("head title nav header footer aside form script style noscript template iframe object svg math canvas menu button select textarea dialog audio video map".split())
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended recommendations share sharing social notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments respond reply replies disqus discussion toolbar pagination pager tags meta byline copyright legal skip search form teaser".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended recommendations share sharing social notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments respond reply replies disqus discussion reviews feedback alert disclaimer announcement paywall toast toolbar pagination pager tags meta byline copyright legal skip search form teaser".split()
 )
+#: Parts that turn a furniture name into a statement about layout, as in "has-sidebar".
+LAYOUT = frozenset("has with no without not".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar note".split())
 ARTICLE_NAMES = frozenset("article content post story entry main maincontent articlebody postcontent entrycontent bodytext".split())
 #: Elements whose end tag may be left out: a start tag of the second set closes an open one of the first.
@@ -50,24 +52,28 @@ _SPACES = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _names(attrs: list[tuple[str, str | None]]) -> tuple[set[str], str]:
-    words: set[str] = set()
+def _names(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, str]:
+    """(named as furniture, named as an article, role) of an element, each class or id name judged by itself."""
+    furniture = article = False
     role = ""
     for key, value in attrs:
         if key in ("class", "id") and value:
             for name in value.split():
                 parts = [p for p in _NAME_PARTS.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if p]
-                words.update(parts)
-                words.add("".join(parts))
+                parts.append("".join(parts))
+                if FURNITURE.isdisjoint(parts):
+                    article |= not ARTICLE_NAMES.isdisjoint(parts)
+                else:
+                    furniture |= LAYOUT.isdisjoint(parts)
         elif key == "role" and value:
             role = value.strip().lower()
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             role = "dialog"
-    return words, role
+    return furniture, article, role
 
 
 class _Blocks(HTMLParser):
-    """Collects [text parts, tags, inside dropped, inside article] blocks from parser events."""
+    """Collects (text, tags, dropped, article, linked characters) blocks from parser events."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -80,6 +86,7 @@ class _Blocks(HTMLParser):
         self.tags = 0
         self.linked = 0
         self.in_links = 0
+        self.unseen = False
 
     def _dropped(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
@@ -89,10 +96,11 @@ class _Blocks(HTMLParser):
 
     def _flush(self) -> None:
         text = _SPACES.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.blocks.append((text, self.tags, self._dropped(), self._article(), self.linked))
+        if text or self.unseen:
+            # a block of dropped text only keeps its place, without the text
+            self.blocks.append((text, self.tags, not text, self._article(), self.linked))
             self.tags = 0
-        self.text, self.linked = [], 0
+        self.text, self.linked, self.unseen = [], 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -108,11 +116,11 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         dropped, article = self._dropped(), self._article()
-        words, role = _names(attrs) if attrs else ((), "")
+        furniture, named, role = _names(attrs) if attrs else (False, False, "")
         is_article = tag in ("article", "main") or role in ("main", "article")
-        if tag in DROPPED and not (tag == "header" and article) or role in ROLES or (words and not is_article and tag not in ("html", "body") and not FURNITURE.isdisjoint(words)):
+        if tag in DROPPED and not (tag == "header" and article) or role in ROLES or (furniture and not named and not is_article and tag not in ("html", "body")):
             dropped = True
-        elif is_article or (tag in ("div", "section", "td") and words and not ARTICLE_NAMES.isdisjoint(words)):
+        elif is_article or (named and tag in ("div", "section", "td")):
             if not article and not dropped:
                 self.articles += 1
                 article = self.articles
@@ -141,6 +149,9 @@ class _Blocks(HTMLParser):
             self._flush()
 
     def handle_data(self, data):
+        if self._dropped():
+            self.unseen = True
+            return
         self.text.append(data)
         if self.in_links:
             self.linked += len(data)
@@ -191,6 +202,9 @@ def extract(html: str | None) -> str:
     """The main text of one whole page."""
     if not html:
         return ""
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0:
+        html = html[:comment]  # an open comment runs to the end
     parser = _Blocks()
     parser.feed(html)
     blocks = parser.finish()
@@ -208,6 +222,18 @@ def extract(html: str | None) -> str:
         # ratios are of all blocks, links counting as tags; dropped ones carry no text
         ratios = [0.0 if dropped else max(0, len(text) - linked) / max(1, tags) for text, tags, dropped, _, linked in blocks]
         first, end = content_region(ratios)
+        linked_share = [linked / len(text) if text else 0.0 for text, _, _, _, linked in blocks]
+        while first < end and linked_share[first] >= 0.5:
+            first += 1
+        while first < end and linked_share[end - 1] >= 0.5:
+            end -= 1
+        if len(free) < len(blocks):
+            # furniture is declared on this page, so what adjoins the region without links belongs to it
+            plain = [not b[2] and share < 0.3 for b, share in zip(blocks, linked_share)]
+            while first > 0 and plain[first - 1]:
+                first -= 1
+            while end < len(blocks) and plain[end]:
+                end += 1
         chosen = [b for b in blocks[first:end] if not b[2]]
     return " ".join(b[0] for b in chosen)
 
