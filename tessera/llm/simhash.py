@@ -232,16 +232,17 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def _lists(texts: DataFrame) -> DataFrame:
-    """(slot, bytes, id, n): postings of lists with two members or more, n being the list's length."""
+    """(list, id, n): postings of lists with two members or more; a list's number holds its slot and bytes."""
 
-    def key(positions):
-        parts = [_byte(F.col(WIDE[p // 8]), 7 - p % 8) for p in positions]
-        return F.shiftleft(parts[0], 24).bitwiseOR(F.shiftleft(parts[1], 16)).bitwiseOR(F.shiftleft(parts[2], 8)).bitwiseOR(parts[3])
+    def number(slot, positions):
+        key = F.lit(slot).cast("long")
+        for p in positions:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col(WIDE[p // 8]), 7 - p % 8))
+        return key
 
-    postings = F.array(*[F.struct(F.lit(k).cast("short").alias("slot"), key(p).alias("bytes")) for k, p in enumerate(wide_positions())])
-    posted = texts.select("id", F.explode(postings).alias("p")).select("id", "p.slot", "p.bytes")
-    lengths = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return posted.join(lengths, ["slot", "bytes"])
+    posted = texts.select("id", F.explode(F.array(*[number(k, p) for k, p in enumerate(wide_positions())])).alias("list"))
+    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return posted.join(lengths, "list")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -285,19 +286,19 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     texts = materialize(texts, "dedup-texts")
     lists = materialize(_lists(texts), "dedup-lists")
     ranked = lists.join(texts.select("id", "copies"), "id")
-    centre = ranked.groupBy("slot", "bytes").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"))
-    spokes = lists.join(centre, ["slot", "bytes"]).where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    centre = ranked.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"))
+    spokes = lists.join(centre, "list").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
     roots = _roots(texts, tied)
     apart = lists.join(roots, "id")
-    mixed = apart.groupBy("slot", "bytes").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("slot", "bytes")
-    apart = materialize(apart.join(mixed, ["slot", "bytes"]), "dedup-apart")
-    short = apart.where(F.col("n") <= NEAR_CAP).groupBy("slot", "bytes").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
+    mixed = apart.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
+    apart = materialize(apart.join(mixed, "list"), "dedup-apart")
+    short = apart.where(F.col("n") <= NEAR_CAP).groupBy("list").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
     heads = short.select("m", F.posexplode("m").alias("i", "p"))
     every = heads.select("p", F.explode(F.slice("m", F.col("i") + 2, NEAR_CAP)).alias("q")).where("p.root <> q.root").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     crowded = apart.where(F.col("n") > NEAR_CAP).join(texts.select("id", *WIDE), "id")
     for order in (WIDE[0], WIDE[2]):
-        w = W.partitionBy("slot", "bytes").orderBy(order, "id")
+        w = W.partitionBy("list").orderBy(order, "id")
         for k in range(1, NEIGHBOURS + 1):
             beside = crowded.select("id", "root", F.lead("id", k).over(w).alias("other"), F.lead("root", k).over(w).alias("other_root"))
             every = every.unionByName(beside.where("other IS NOT NULL AND root <> other_root").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
@@ -321,14 +322,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one row of each group of near copies stays (its smallest doc_id), with the same columns."""
     found = near_copy_groups(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), "n"), "dedup-keep")
+    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), F.col("n").alias("__times")), "dedup-keep")
     # the kept ids are the build side; texts stream past unsorted
     kept_rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__keep")), "inner")
     columns = [f"`{c}`" for c in docs.columns]
-    once = kept_rows.where("n = 1").select(*columns)
-    if keep.where("n > 1").isEmpty():
+    once = kept_rows.where("__times = 1").select(*columns)
+    if keep.where("__times > 1").isEmpty():
         return once
     # rows that repeat a doc_id: the first by text
     order = W.partitionBy("doc_id").orderBy("text")
-    again = kept_rows.where("n > 1").withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*columns)
+    again = kept_rows.where("__times > 1").withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*columns)
     return once.unionByName(again)
