@@ -199,7 +199,7 @@ def _target_hint(node: ast.expr) -> str:
             return f"{_target_hint(node.value)}.{node.attr}"
         case ast.Subscript():
             return f"{_target_hint(node.value)}[]"
-        case ast.Tuple() | ast.List():
+        case ast.Tuple():
             return ",".join(map(_target_hint, node.elts))
     return "?"
 
@@ -238,10 +238,8 @@ def imports(tree: ast.Module, module: str, package: str) -> tuple[list[dict], li
                 add(alias.name, [alias.asname or alias.name], node.lineno)
         elif isinstance(node, ast.ImportFrom):
             if node.names[0].name == "*":
-                if node.level:
-                    stars.append(f"{package}.{node.module}" if node.module else package)
-                elif node.module:
-                    stars.append(node.module)
+                if node.module:
+                    stars.append(f"{package}.{node.module}" if node.level else node.module)
             if node.module:
                 target = resolve_relative(module, node.level, node.module) if node.level else node.module
                 add(target, [alias.name for alias in node.names], node.lineno)

@@ -133,7 +133,9 @@ def extract(source: str, display: str, below_root: str, alias: str = "@/", orm_m
             exports.append(name)
 
     def add_class(node: Node, exported: bool) -> None:
-        name = node.name or "default"
+        name = node.name
+        if name is None:
+            return
         methods = [m for m in node.members if m.kind == "MethodDefinition"]
         first, last = line_of(node.start), line_of(node.end)
         facts["types"].append(

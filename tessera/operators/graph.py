@@ -21,7 +21,7 @@ def _module_of(path: str):
 
 def import_records(facts: Facts) -> DataFrame:
     """(lang, src, dst, names): every internal import, repeats included."""
-    rows = facts.imports.where("is_internal")
+    rows = facts.imports.where("is_internal AND (lang <> 'rust' OR target <> '')")
     dst = F.when(F.col("lang") == "typescript", _module_of("target")).otherwise(F.col("target"))
     src = F.col("module")
     return rows.select("lang", src.alias("src"), dst.alias("dst"), F.col("specifiers").alias("names"))

@@ -22,7 +22,7 @@ def summary(facts: Facts) -> DataFrame:
     """One row per language: counts of files, lines, functions, types, imports and errors.
 
     All of it comes from array sizes of the nested rows, in one aggregation without an explode.
-    Rust counts only files that parse; Python counts every file.
+    Rust counts only files that parse; Python counts every file, but lines only of those that parse.
     """
     f = facts.files
     parsed = F.col("parse_error").isNull()
@@ -45,7 +45,7 @@ def summary(facts: Facts) -> DataFrame:
         _total(F.col("counted")).alias("files"),
         _total(F.col("parsed")).alias("files_parsed"),
         _total(~F.col("parsed")).alias("parse_errors"),
-        _total(F.col("counted"), F.col("line_count")).alias("lines"),
+        _total(F.col("parsed"), F.col("line_count")).alias("lines"),
         n("n_functions").alias("functions"),
         n("n_types").alias("classes"),
         n("n_traits").alias("traits"),
@@ -57,9 +57,13 @@ def summary(facts: Facts) -> DataFrame:
 
 
 def test_prod(facts: Facts) -> DataFrame:
-    """Lines and functions of test and of production files, by language."""
-    f = facts.files.where((F.col("lang") != "rust") | F.col("parse_error").isNull())
-    per_file = f.select("lang", "is_test", "line_count", F.size("functions").alias("n"))
+    """Lines and functions of test and of production files that parse, by language.
+
+    Python methods count as functions and again as members of their class.
+    """
+    members = F.aggregate("types", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(t["methods"], F.lit(0)))
+    n = F.size("functions") + F.when(F.col("lang") == "python", members).otherwise(0)
+    per_file = facts.parsed.select("lang", "is_test", "line_count", n.alias("n"))
     test = F.col("is_test")
     sums = per_file.groupBy("lang").agg(
         _total(test, F.col("line_count")).alias("test_lines"),
@@ -77,8 +81,7 @@ def ranked(df: DataFrame, *order: Column, top: int | None = None) -> DataFrame:
 
 
 def files_by_lines(facts: Facts, top: int | None = None) -> DataFrame:
-    f = facts.files.where((F.col("lang") != "rust") | F.col("parse_error").isNull())
-    rows = f.select("lang", F.col("display").alias("file"), F.col("line_count").alias("lines"))
+    rows = facts.parsed.select("lang", F.col("display").alias("file"), F.col("line_count").alias("lines"))
     return ranked(rows, F.desc("lines"), F.asc("file"), top=top)
 
 

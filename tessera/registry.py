@@ -199,7 +199,7 @@ ORACLE_SQL = {
     "py_classes": f"WITH {_P} SELECT 'Box_' || k AS name, 3::BIGINT AS lines, 1::BIGINT AS methods, file, (end_line + 1)::BIGINT AS line FROM l WHERE k % 5 = 0",
     "py_file_inventory": f"WITH {_P} SELECT file, lines::BIGINT AS lines FROM sized",
     "py_summary": f"WITH {_P} SELECT count(*)::BIGINT AS files, count(*)::BIGINT AS files_parsed, 0::BIGINT AS parse_errors, sum(lines)::BIGINT AS lines, sum(n_functions)::BIGINT AS functions, (count(*) FILTER (k % 5 = 0))::BIGINT AS classes, count(*)::BIGINT AS internal_imports FROM sized",
-    "py_test_prod_split": f"""WITH {_P}, x AS (SELECT sum(lines) FILTER (is_test)::BIGINT AS tl, sum(lines) FILTER (NOT is_test)::BIGINT AS pl, sum(n_functions) FILTER (is_test)::BIGINT AS tf, sum(n_functions) FILTER (NOT is_test)::BIGINT AS pf FROM sized)
+    "py_test_prod_split": f"""WITH {_P}, x AS (SELECT sum(lines) FILTER (is_test)::BIGINT AS tl, sum(lines) FILTER (NOT is_test)::BIGINT AS pl, sum(n_functions + (k % 5 = 0)::INT) FILTER (is_test)::BIGINT AS tf, sum(n_functions + (k % 5 = 0)::INT) FILTER (NOT is_test)::BIGINT AS pf FROM sized)
         SELECT tl AS test_lines, pl AS production_lines, tf AS test_functions, pf AS production_functions, round(tl / (tl + pl), 6) AS line_ratio_test, round(tf / (tf + pf), 6) AS function_ratio_test FROM x""",
     "py_top_imported": f"WITH {_P} SELECT target AS module, count(*)::BIGINT AS count FROM f GROUP BY target",
     "py_edge_count": f"WITH {_P} SELECT count(DISTINCT module)::BIGINT AS modules, count(DISTINCT (module, target))::BIGINT AS edges FROM f",

@@ -53,7 +53,7 @@ export type T1 = string; export interface I1 {} export enum E1 { A }
 """
     )
     assert [(x["name"], x["params"], x["exported"]) for x in f["functions"]] == [("a", 1, True), ("over", 1, False), ("b", 1, True), ("d", 1, False), ("constructor", 1, False), ("m", 0, False)]
-    assert f["exports"] == ["a", "b", "c", "K", "default", "e", "over", "T1", "I1", "E1"]
+    assert f["exports"] == ["a", "b", "c", "K", "e", "over", "T1", "I1", "E1"]
     k = f["types"][0]
     assert (k["methods"], k["properties"], k["has_heritage"]) == (4, 3, True)
 
