@@ -120,7 +120,7 @@ class PrefixBPE:
         known = self._compatible.get((left, right))
         if known is None:
             known = self._border_holds(left, right, 1 << 60)
-            if len(self._compatible) > 400_000:
+            if len(self._compatible) > 150_000:
                 self._compatible.clear()
             self._compatible[left, right] = known
         return known
@@ -167,8 +167,8 @@ class WordTokenizer:
         self.alphabet = byte_alphabet()
         self.chunks = re.compile(f"[^{WHITE}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
-        self.words = WordCache(self._word, 100_000)
-        self.cache = WordCache(self._chunk, 150_000)
+        self.words = WordCache(self._word, 40_000)
+        self.cache = WordCache(self._chunk, 100_000)
 
     def _word(self, piece: str) -> list[int]:
         symbols = "".join([self.alphabet[b] for b in piece.encode("utf-8")])

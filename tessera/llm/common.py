@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: ASCII white space, the separators of contract words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an output Arrow batch of :func:`map_rows`, at most; bytes of text in one, about.
-OUT_ROWS = 4096
+OUT_ROWS = 1024
 
 _OWN_DIRS: dict[int, str] = {}
 
@@ -59,7 +59,7 @@ class WordCache(dict):
     memory is bounded whatever the vocabulary, and the result never depends on what was kept.
     """
 
-    def __init__(self, make: Callable[[Any], Any], cap: int = 150_000):
+    def __init__(self, make: Callable[[Any], Any], cap: int = 100_000):
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
 
@@ -74,20 +74,29 @@ class WordCache(dict):
         return value
 
 
-#: State that a worker process keeps between tasks, by a key that names the model exactly.
+#: The model that a worker process holds between tasks, under a key that names it exactly.
 _KEPT: dict[str, Any] = {}
 
 
 def kept(key: str, build: Callable[[], Any]) -> Any:
-    """``build()`` once per worker process and ``key``; one model is held at a time per prefix."""
+    """``build()`` once per worker process and ``key``; the model of another step makes way."""
     if key not in _KEPT:
-        prefix = key.split(":", 1)[0] + ":"
-        for other in [k for k in _KEPT if k.startswith(prefix)]:
-            del _KEPT[other]
+        _KEPT.clear()
         _KEPT[key] = build()
     return _KEPT[key]
 
 
+#: Rows of one Arrow batch to a Python worker: with 10,000 texts, Spark's default, a batch alone takes 100 MB.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for texts, unless the session has asked for smaller ones."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, columns: Sequence[str], kernel: Callable[[], Callable[..., Iterable[tuple]]], schema: T.StructType) -> DataFrame:
     """Apply a Python kernel to the named columns of each row.
 
@@ -96,6 +105,7 @@ def map_rows(df: DataFrame, columns: Sequence[str], kernel: Callable[[], Callabl
     whatever their names, cost nothing.
     """
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, rows = kernel(), []
@@ -128,6 +138,7 @@ def map_texts(df: DataFrame, key: str, kernel: Callable[[], Callable[[list], lis
     Lists hold about ``BLOCK_CHARS`` characters, so a task's memory does not follow its batch size.
     """
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = kernel()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import kept, struct, table
+from .common import kept, small_batches, struct, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 2048
@@ -126,6 +126,7 @@ def pack_shard(documents: list[tuple[int | None, np.ndarray]], seq_len: int) ->
 def pack_documents(docs: DataFrame, key: str = "doc_id", seq_len: int = SEQ_LEN, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per packed row: ids (seq_len little-endian unsigned 16-bit, padded), cu_seqlens, doc_ids and doc_offsets."""
     arrow = to_arrow_schema(PACKED)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, held, n = encoder(vocabulary), [], 0
@@ -134,7 +135,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", seq_len: int = SEQ_LEN,
             rows = []
             for row in pack_shard(held, seq_len):
                 rows.append(row)
-                if len(rows) == 1024:
+                if len(rows) == 256:
                     yield batch_of(rows)
                     rows = []
             if rows:

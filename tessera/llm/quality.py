@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, struct, table
+from .common import materialize, small_batches, struct, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -183,6 +183,7 @@ _VOTES, _POSTERIOR = "__tessera_votes", "__tessera_posterior"
 
 def with_votes(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics and the vote pattern; only the text visits Python."""
+    small_batches(docs.sparkSession)
     voted = docs.withColumn(_S, _stats_udf("text"))
     return voted.withColumn(_VOTES, F.concat_ws(",", *[vote.cast("string") for vote in rules().values()]))
 
