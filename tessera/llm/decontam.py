@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, kept, map_rows, table, with_key
+from .common import WordCache, kept, map_rows, small_batches, table, with_key
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 5, 0.5
 #: Windows of a benchmark that may be broadcast (about 100 bytes each); more are shuffle-joined.
@@ -47,24 +47,31 @@ _TOKENS = re.compile(r"\d[\d.,:/]*\d|\d|[^\W\d_]+")
 _NUMBER, _NAME, _UNIT = (xxhash.xxh64_intdigest(x, 1) >> 4 << 4 for x in ("<number>", "<name>", "<unit>"))
 #: Low bits of a token code.
 CAPITAL, ENDS, MEASURE = 1, 2, 4
+_WORD_ENDS = frozenset("abcdefghijklmnopqrstuvwxyz,;")
 _POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)]
 
 
+#: What is taken off a chunk before it is looked at as one word.
+_EDGES = "\"'()[]{}.,;:!?#$%&*<>|-/\\"
+
+
+def _code(token: str) -> int:
+    """A word's 60-bit hash and its flags."""
+    lower = token.lower()
+    code = xxhash.xxh64_intdigest(lower, 1) >> 4 << 4
+    if lower != token and token[0].isupper() and (len(token) == 1 or not token.isupper()):
+        code |= CAPITAL
+    return code | MEASURE if lower in UNITS else code
+
+
 def chunk_codes(chunk: str) -> tuple[int, ...]:
-    """Codes of the tokens of a white-space separated chunk: a 60-bit hash and its flags."""
-    codes = []
-    for token in _TOKENS.findall(chunk):
-        if token[0].isdigit():
-            codes.append(_NUMBER)
-            continue
-        lower = token.lower()
-        code = xxhash.xxh64_intdigest(lower, 1) >> 4 << 4
-        if token[0].isupper() and (len(token) == 1 or not token.isupper()):
-            code |= CAPITAL
-        if lower in UNITS:
-            code |= MEASURE
-        codes.append(code)
-    if codes and chunk.rstrip("\"')]}»”")[-1:] in (".", "!", "?", ":"):
+    """Codes of the tokens of a white-space separated chunk."""
+    word = chunk.strip(_EDGES)
+    if word.isalpha():
+        codes = [_code(word)]
+    else:
+        codes = [_NUMBER if token[0].isdigit() else _code(token) for token in _TOKENS.findall(chunk)]
+    if codes and chunk[-1] not in _WORD_ENDS and chunk.rstrip("\"')]}\u00bb\u201d")[-1:] in (".", "!", "?", ":"):
         codes[-1] |= ENDS
     return tuple(codes)
 
@@ -81,7 +88,7 @@ def template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after_number[1:] = plain[:-1] == _NUMBER
     out[after_number & ((flags & np.uint64(MEASURE)) > 0)] = _UNIT
     keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (out[1:] != out[:-1]) | ~np.isin(out[1:], np.array([_NUMBER, _NAME], dtype=np.uint64))
+    keep[1:] = (out[1:] != out[:-1]) | ((out[1:] != np.uint64(_NUMBER)) & (out[1:] != np.uint64(_NAME)))
     index = np.flatnonzero(keep)
     return out[index], index
 
@@ -235,7 +242,7 @@ def _shuffled(docs: DataFrame, index: DataFrame, schema) -> DataFrame:
         return pd.DataFrame([(group["doc_id"].iloc[0], group["item_id"].iloc[0], n, coverage, slots)] if coverage >= MIN_COVERAGE else [], columns=schema.names)
 
     # a group is one document's windows that match one item: bounded by the document's length
-    return met.withColumnRenamed("at", "at").groupBy("doc_id", "row_id", "item_id").applyInPandas(verdict, schema)
+    return met.groupBy("doc_id", "row_id", "item_id").applyInPandas(verdict, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -246,6 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.join(leaking, docs.doc_id.eqNullSafe(F.col("__leak")), "left_anti")
     rows = [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"]) for r in index.collect()]
     matcher = _matcher(docs.sparkSession, rows)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
