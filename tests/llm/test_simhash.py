@@ -83,8 +83,7 @@ def test_near_copies(spark):
     assert kept == set(got.values())
 
 
-def test_large_family_uses_its_commonest_text(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "NEAR_CAP", 4)
+def test_large_family_uses_its_commonest_text(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)] * 3

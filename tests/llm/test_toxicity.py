@@ -20,12 +20,13 @@ def corpus(n, bad, seed):
 
 
 def test_unseen_misspellings_share_character_grams():
-    texts, labels = corpus(400, ["worthless", "stupid", "disgusting", "pathetic"], 1)
+    texts, labels = corpus(1200, ["worthless", "stupid", "disgusting", "pathetic"], 1)
     model = toxicity.fit(texts, labels)
     held, marks = corpus(200, ["worthles", "stupidd", "disgustting", "patthetic"], 2)
     scores = np.array([s for (s,) in toxicity.Scorer(model).score_all(held)])
     marks = np.array(marks)
     assert ((scores >= toxicity.THRESHOLD) == marks).mean() >= 0.9
+    assert np.mean(scores[marks == 1][:, None] > scores[marks == 0][None, :]) >= 0.98
     assert all(0 <= s <= 1 for s in scores)
 
 
