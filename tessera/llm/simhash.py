@@ -170,13 +170,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Conjunctions of four positional bytes that are posted, and wide bits in which candidates may differ.
 #: A pair at similarity 0.8 keeps about 18 of its bytes and so meets in some 7 of 80 lists.
-WIDE_BYTES, N_LISTS, LIST_BYTES, WIDE_BITS = 32, 80, 4, 64
+WIDE_BYTES, N_LISTS, LIST_BYTES, WIDE_BITS = 32, 80, 4, 40
+#: Positional bytes that a candidate pair must share; at similarity 0.8 it shares 18, give or take 3.
+MIN_SHARED_WIDE = 10
 #: The columns of a wide fingerprint, eight bytes each.
 WIDE = ("w0", "w1", "w2", "w3")
-#: Members up to which a list's remaining pairs are all tried; beyond it, neighbours in two sort orders are.
-NEAR_CAP, NEIGHBOURS = 48, 4
-#: Candidate texts whose numbers are broadcast (8 bytes each); more are found by a join.
-BROADCAST_TEXTS = 4_000_000
+#: Following members of a list with which one is compared, in each of two sort orders.
+NEIGHBOURS = 3
+#: Candidate texts whose doc_ids are broadcast (some 16 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
 def wide_positions() -> list[tuple[int, ...]]:
@@ -245,25 +247,29 @@ def _lists(texts: DataFrame) -> DataFrame:
     return posted.join(lengths, "list")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text ids whose five-word shingles reach the similarity."""
-    wide = texts.select("id", *WIDE)
-    near = pairs.join(wide.toDF("a", *[f"a_{c}" for c in WIDE]), "a").join(wide.toDF("b", *[f"b_{c}" for c in WIDE]), "b")
-    differing = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in WIDE)
-    pairs = materialize(near.where(differing <= WIDE_BITS).select("a", "b"), "dedup-pairs")
+def _plausible(left: str, right: str) -> tuple[Column, Column]:
+    """(bits in which two wide fingerprints differ, whether bits and the tally of shared positional bytes allow a link)."""
+    sides = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in WIDE]
+    bits = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in sides)
+    shared = sum((shared_bytes(x, y) for x, y in sides), F.lit(0))
+    return bits, (bits <= WIDE_BITS) & (shared >= MIN_SHARED_WIDE)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, tallied: bool = False) -> DataFrame:
+    """The pairs (a, b) of text ids whose five-word shingles reach the similarity; ``tallied`` pairs have been found plausible."""
+    if not tallied:
+        wide = texts.select("id", *WIDE)
+        near = pairs.join(wide.toDF("a", *[f"a_{c}" for c in WIDE]), "a").join(wide.toDF("b", *[f"b_{c}" for c in WIDE]), "b")
+        pairs = near.where(_plausible("a_", "b_")[1]).select("a", "b")
+    pairs = materialize(pairs, "dedup-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(texts.select("id", "first"), "id"), "dedup-wanted")
-    # each text is read from one document that has it
-    count = wanted.count()
-    if count <= BROADCAST_TEXTS:
-        chosen = docs.sparkSession.sparkContext.broadcast({r["first"]: None for r in wanted.select("first").toLocalIterator()})
-        source = docs
-    else:
-        chosen = None
-        source = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    # each text is read from one document that has it; only those texts leave the JVM
+    firsts = wanted.select(F.col("first").alias("doc_id")).distinct()
+    bounded = wanted.count() <= BROADCAST_TEXTS
+    source = docs.select("doc_id", "text").join(F.broadcast(firsts) if bounded else firsts.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def kernel():
-        firsts = chosen.value if chosen is not None else None
-        return lambda doc_id, text: [(doc_id, _text_hash(_words(text)), shingle_hashes(text))] if firsts is None or doc_id in firsts else []
+        return lambda doc_id, text: [(doc_id, _text_hash(_words(text)), shingle_hashes(text))]
 
     sets = map_rows(source, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "id long, grams array<long>"))
     sets = wanted.join(sets.withColumnRenamed("doc_id", "first"), ["id", "first"]).dropDuplicates(["id"])
@@ -276,33 +282,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, component_id): groups of near copies, component_id being the smallest doc_id reachable.
 
-    Equal texts are one row from the start.  Each list first ties its members to the text with the
-    most copies (families are variants of one text), which takes as many pairs as postings; pairs of
-    members that are still apart are then tried in full, or, in lists beyond ``NEAR_CAP``, between
-    neighbours in two sort orders.
+    Equal texts are one row from the start.  Families are variants of one text, so each text first
+    tries the most copied text that it meets in any list.  Where members of a list are still apart,
+    each is compared with its next ``NEIGHBOURS`` in two sort orders (all of them in lists of up to
+    ``NEIGHBOURS`` + 1), and with each other component the nearest of those goes on to be verified.
+    Every step makes rows in proportion to postings, never to pairs.
     """
     rows = materialize(_digests(docs), "dedup-digests")
     texts = rows.groupBy(F.col("text_hash").alias("id")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in WIDE])
     texts = materialize(texts, "dedup-texts")
     lists = materialize(_lists(texts), "dedup-lists")
     ranked = lists.join(texts.select("id", "copies"), "id")
-    centre = ranked.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"))
-    spokes = lists.join(centre, "list").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    centre = ranked.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"), F.max("copies").alias("copies"))
+    best = lists.join(centre, "list").where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct("copies", -F.col("centre"))).alias("centre"))
+    spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
     roots = _roots(texts, tied)
     apart = lists.join(roots, "id")
     mixed = apart.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    apart = materialize(apart.join(mixed, "list"), "dedup-apart")
-    short = apart.where(F.col("n") <= NEAR_CAP).groupBy("list").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
-    heads = short.select("m", F.posexplode("m").alias("i", "p"))
-    every = heads.select("p", F.explode(F.slice("m", F.col("i") + 2, NEAR_CAP)).alias("q")).where("p.root <> q.root").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    crowded = apart.where(F.col("n") > NEAR_CAP).join(texts.select("id", *WIDE), "id")
+    apart = materialize(apart.join(mixed, "list").join(texts.select("id", *WIDE), "id"), "dedup-apart")
+    member = F.struct("id", "root", *WIDE)
+    beside = None
     for order in (WIDE[0], WIDE[2]):
         w = W.partitionBy("list").orderBy(order, "id")
         for k in range(1, NEIGHBOURS + 1):
-            beside = crowded.select("id", "root", F.lead("id", k).over(w).alias("other"), F.lead("root", k).over(w).alias("other_root"))
-            every = every.unionByName(beside.where("other IS NOT NULL AND root <> other_root").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
-    rest = _verified(every.distinct(), docs, texts)
+            step = apart.select(member.alias("p"), F.lead(member, k).over(w).alias("q"))
+            beside = step if beside is None else beside.unionByName(step)
+    bits, plausible = _plausible("p.", "q.")
+    beside = beside.where("q IS NOT NULL AND p.root <> q.root").where(plausible).withColumn("bits", bits)
+    nearest = beside.groupBy(F.col("p.id").alias("id"), F.col("q.root").alias("root")).agg(F.min_by("q.id", F.struct("bits", "q.id")).alias("other"))
+    rest = nearest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    rest = _verified(rest, docs, texts, tallied=True)
     roots = _roots(texts, materialize(tied.unionByName(rest), "dedup-links"))
     grouped = roots.join(texts.select("id", "first"), "id")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
