@@ -28,6 +28,7 @@ import os
 import re
 import struct as _struct
 import unicodedata
+from array import array
 
 import ahocorasick
 import public_tokenizers
@@ -128,16 +129,22 @@ class PrefixBPE:
     def encode_symbols(self, symbols: str) -> list[int]:
         """Ids of one piece given in the byte alphabet (with ``END`` appended where words end)."""
         n = len(symbols)
-        last: list[int] = [-1] * (n + 1)
-        size: list[int] = [0] * (n + 1)
-        compatible = self.compatible
+        last = [-1] * (n + 1)
+        size = [0] * (n + 1)
+        known, compatible = self._compatible, self.compatible
         for end, (token, length) in self.automaton.iter(symbols):
             at = end + 1
             if last[at] >= 0:
                 continue
             before = at - length
-            if before == 0 or (last[before] >= 0 and compatible(last[before], token)):
+            if before == 0:
                 last[at], size[at] = token, length
+                continue
+            left = last[before]
+            if left >= 0:
+                fits = known.get((left, token))
+                if fits or fits is None and compatible(left, token):
+                    last[at], size[at] = token, length
         out, at = [], n
         while at > 0:
             if last[at] < 0:
@@ -164,23 +171,29 @@ class WordTokenizer:
         self.name = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = re.compile(pattern.replace(r"\s", WHITE).replace(r"\p{L}", category_ranges("L")).replace(r"\p{N}", category_ranges("N")))
-        self.alphabet = byte_alphabet()
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.chunks = re.compile(f"[^{WHITE}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
-        self.words = WordCache(self._word, 40_000)
+        self.words = WordCache(self._word, 120_000)
         self.cache = WordCache(self._chunk, 100_000)
 
-    def _word(self, piece: str) -> list[int]:
-        symbols = "".join([self.alphabet[b] for b in piece.encode("utf-8")])
-        return self.bpe.encode_symbols(symbols + PrefixBPE.END if self.bpe.word_ends else symbols)
+    def _word(self, piece: str) -> tuple[bytes, bytes]:
+        """(ids, token strings) of one piece."""
+        # printable ASCII stands for itself in the byte alphabet
+        symbols = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = self.bpe.encode_symbols(symbols + PrefixBPE.END if self.bpe.word_ends else symbols)
+        return array("I", ids).tobytes(), " ".join([self.name[i] for i in ids]).encode()
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        # lower() looks at the context of a capital sigma; the file lower-cases single characters
-        plain = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
-        if not plain.isascii():
-            plain = plain.translate(NEW_CAPITALS)
-        ids = [i for piece in self.pieces.findall(plain) for i in self.words[piece]]
-        return _struct.pack(f"<{len(ids)}I", *ids), " ".join([self.name[i] for i in ids]).encode()
+        if chunk.isascii():
+            plain = chunk.lower()
+        else:
+            # lower() looks at the context of a capital sigma; the file lower-cases single characters
+            plain = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower().translate(NEW_CAPITALS)
+        if plain.isascii() and plain.isalpha():
+            return self.words[plain]
+        parts = [self.words[piece] for piece in self.pieces.findall(plain)]
+        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
 
     def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
         # str.split() also cuts at \x1c-\x1f, which are not white space to the file's pattern
