@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table, with_key
+from .common import map_rows, materialize, struct, table, with_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 LIST_CAP = 64
@@ -163,31 +163,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- near copies at five words and a similarity of 0.8 ---------------------------------------------
 #
 # Texts that share 0.8 of their five-word shingles differ in some 8 of 64 SimHash bits of the
-# shingles: no byte need agree.  They share nearly all their *words*, though, so the index of this
-# stage posts a wide fingerprint (256 bits, 32 positional bytes) of the distinct words, and what it
-# proposes is verified on the five-word shingles themselves.
-
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Conjunctions of four positional bytes that are posted, and wide bits in which candidates may differ.
-#: A pair at similarity 0.8 keeps about 18 of its bytes and so meets in some 7 of 80 lists.
-WIDE_BYTES, N_LISTS, LIST_BYTES, WIDE_BITS = 32, 80, 4, 40
-#: Positional bytes that a candidate pair must share; at similarity 0.8 it shares 18, give or take 3.
-MIN_SHARED_WIDE = 10
-#: The columns of a wide fingerprint, eight bytes each.
-WIDE = ("w0", "w1", "w2", "w3")
+# shingles: no byte need agree, and how many do depends on the kind of edit.  The index of this stage
+# therefore posts shingles themselves, by prefix filtering, which finds every pair whatever the edit:
+# with the shingles of all texts in one order, two sets of similarity 0.8 or more have a member in
+# common among the first n - ceil(0.8 n) + 1 of each.  Any order is right; the shingles that a sample
+# of the texts shows to be common come last, so that a common passage makes no long list.
+#
+# Two bounds, neither of which a linked pair can miss, spare most proposals the verification: by the
+# places of the shared shingle, and by a parity sketch (the exclusive or of one bit per shingle),
+# whose differing bits never outnumber the shingles that only one of the two texts has.
+
+NEAR_SHINGLE = 5
+#: Similarity from which texts are linked, as a fraction: bounds in whole numbers have no rounding.
+NUMERATOR, DENOMINATOR = 4, 5
+#: The columns of a parity sketch, eight bytes each.
+SKETCH = tuple(f"s{i}" for i in range(8))
+#: One text in SAMPLED tells which shingles are common: those of COMMON sampled texts or more, COMMONS of them at most.
+SAMPLED, COMMON, COMMONS = 16, 4, 100_000
 #: Following members of a list with which one is compared, in each of two sort orders.
 NEIGHBOURS = 3
-#: Candidate texts whose doc_ids are broadcast (some 16 bytes each); more are joined by a shuffle.
+#: Candidate texts whose doc_ids are broadcast (some 24 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 
 
-def wide_positions() -> list[tuple[int, ...]]:
-    """Byte positions of each list: arithmetic progressions over the positions, spread evenly."""
-    every = dict.fromkeys(tuple(sorted((start + k * stride) % WIDE_BYTES for k in range(LIST_BYTES))) for start in range(WIDE_BYTES) for stride in (1, 3, 5, 7, 9, 11, 13, 15))
-    every = [p for p in every if len(set(p)) == LIST_BYTES]
-    return [every[k * len(every) // N_LISTS] for k in range(N_LISTS)]
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
@@ -197,127 +195,142 @@ def _text_hash(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), SEED) >> 1
 
 
-def wide_fingerprint(words: list[bytes]) -> tuple[int, ...]:
-    """256-bit SimHash of the distinct words, as four signed longs."""
-    distinct = list(set(words))
-    if not distinct:
-        return (0,) * len(WIDE)
-    digest = xxhash.xxh128_digest
-    ones = []
-    for seed in (SEED, SEED + 1):
-        raw = np.frombuffer(b"".join([digest(w, seed) for w in distinct]), dtype=np.uint8).reshape(-1, 16)
-        total = np.zeros(128, dtype=np.int64)
-        for start in range(0, len(raw), 1 << 15):
-            total += np.unpackbits(raw[start : start + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
-        ones.append(total)
-    return tuple(np.frombuffer(np.packbits(np.concatenate(ones) * 2 > len(distinct)).tobytes(), dtype=">i8").tolist())
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Distinct 63-bit hashes, in order, of the five-word shingles (the whole sequence where there are fewer words)."""
+    digest = xxhash.xxh64_intdigest
+    grams = [b"%b %b %b %b %b" % g for g in zip(words, words[1:], words[2:], words[3:], words[4:])] if len(words) > NEAR_SHINGLE else [b" ".join(words)]
+    return np.unique(np.fromiter((digest(g, SEED) >> 1 for g in grams), dtype=np.int64, count=len(grams)))
+
+
+def sketch(grams: np.ndarray) -> tuple[int, ...]:
+    """Parity of the shingles at each of 512 bits, as signed longs."""
+    odd = np.bincount(grams & (64 * len(SKETCH) - 1), minlength=64 * len(SKETCH)) & 1
+    return tuple(np.packbits(odd.astype(np.uint8)).view(">i8").tolist())
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> list[int]:
+    """The first shingles in the order of all texts, so many that a linked text has one of them among its own first."""
+    place = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
+    rank = np.where(common[place] == grams, counts[place], 0) if len(common) else np.zeros(len(grams), dtype=np.int64)
+    n = len(grams)
+    return grams[np.lexsort((grams, rank))[: n - -(-NUMERATOR * n // DENOMINATOR) + 1]].tolist()
 
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """Distinct 63-bit hashes of the five-word shingles (the whole sequence where there are fewer words)."""
-    words = _words(text)
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE))))) if len(words) > NEAR_SHINGLE else [b" ".join(words)]
-    return list({xxhash.xxh64_intdigest(g, SEED) >> 1 for g in grams})
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the common shingles of a sample of the texts, sorted."""
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    grams = map_rows(sample, ["text"], lambda: lambda text: [(g,) for g in shingle_hashes(_words(text)).tolist()], struct("gram long"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = sorted(map(tuple, counts.orderBy(F.desc("n"), "gram").limit(COMMONS).collect()))
+    return np.array([g for g, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, w0..w3) of every row."""
+    """(doc_id, raw, text_hash, size, s0..s7, prefix) of every row; raw is a hash of the text as it stands."""
+    common, counts = _common(docs)
 
     def kernel():
-        def one(doc_id, text):
+        def one(doc_id, raw, text):
             words = _words(text)
-            return [(doc_id, _text_hash(words), *wide_fingerprint(words))]
+            grams = shingle_hashes(words)
+            return [(doc_id, raw, _text_hash(words), len(grams), *sketch(grams), prefix(grams, common, counts))]
 
         return one
 
-    return map_rows(docs, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "text_hash long, " + ", ".join(f"{c} long" for c in WIDE)))
+    spec = "raw long, text_hash long, size long, " + ", ".join(f"{c} long" for c in SKETCH) + ", prefix array<long>"
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text"), ["doc_id", "raw", "text"], kernel, with_key(docs, "doc_id", spec))
 
 
 def _lists(texts: DataFrame) -> DataFrame:
-    """(list, id, n): postings of lists with two members or more; a list's number holds its slot and bytes."""
+    """(list, id, size, at, copies): postings of lists with two members or more; ``at`` is the shingle's place in its text."""
+    posted = texts.select("id", "size", "copies", F.posexplode("prefix").alias("at", "list"))
+    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
+    return posted.join(lengths, "list")
 
-    def number(slot, positions):
-        key = F.lit(slot).cast("long")
-        for p in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col(WIDE[p // 8]), 7 - p % 8))
-        return key
 
-    posted = texts.select("id", F.explode(F.array(*[number(k, p) for k, p in enumerate(wide_positions())])).alias("list"))
-    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return posted.join(lengths, "list")
+def _plausible(left: str, right: str) -> Column:
+    """Whether sizes and sketches allow a link: the differing bits bound what only one of the two has."""
+    m, n = F.col(f"{left}size"), F.col(f"{right}size")
+    bits = sum(F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH)
+    return (F.least(m, n) * DENOMINATOR >= F.greatest(m, n) * NUMERATOR) & (bits * (DENOMINATOR + NUMERATOR) <= (m + n) * (DENOMINATOR - NUMERATOR))
 
 
-def _plausible(left: str, right: str) -> tuple[Column, Column]:
-    """(bits in which two wide fingerprints differ, whether bits and the tally of shared positional bytes allow a link)."""
-    sides = [(F.col(f"{left}{c}"), F.col(f"{right}{c}")) for c in WIDE]
-    bits = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in sides)
-    shared = sum((shared_bytes(x, y) for x, y in sides), F.lit(0))
-    return bits, (bits <= WIDE_BITS) & (shared >= MIN_SHARED_WIDE)
+def _within_places(left: str, right: str) -> Column:
+    """Whether enough shingles are left from the shared one on, as they must be at the first that two linked texts share."""
+    m, n = F.col(f"{left}size"), F.col(f"{right}size")
+    left_over = F.least(m - F.col(f"{left}at"), n - F.col(f"{right}at"))
+    return left_over * (DENOMINATOR + NUMERATOR) >= (m + n) * NUMERATOR
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, tallied: bool = False) -> DataFrame:
     """The pairs (a, b) of text ids whose five-word shingles reach the similarity; ``tallied`` pairs have been found plausible."""
     if not tallied:
-        wide = texts.select("id", *WIDE)
-        near = pairs.join(wide.toDF("a", *[f"a_{c}" for c in WIDE]), "a").join(wide.toDF("b", *[f"b_{c}" for c in WIDE]), "b")
-        pairs = near.where(_plausible("a_", "b_")[1]).select("a", "b")
+        short = texts.select("id", "size", *SKETCH)
+        near = pairs.join(short.toDF("a", *[f"a_{c}" for c in short.columns[1:]]), "a").join(short.toDF("b", *[f"b_{c}" for c in short.columns[1:]]), "b")
+        pairs = near.where(_plausible("a_", "b_")).select("a", "b")
     pairs = materialize(pairs, "dedup-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(texts.select("id", "first"), "id"), "dedup-wanted")
+    wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(texts.select("id", "first", "raw"), "id"), "dedup-wanted")
     # each text is read from one document that has it; only those texts leave the JVM
-    firsts = wanted.select(F.col("first").alias("doc_id")).distinct()
+    firsts = wanted.select(F.col("first").alias("__first"), F.col("raw").alias("__raw")).distinct()
     bounded = wanted.count() <= BROADCAST_TEXTS
-    source = docs.select("doc_id", "text").join(F.broadcast(firsts) if bounded else firsts.hint("shuffle_hash"), "doc_id", "left_semi")
+    source = docs.select("doc_id", "text")
+    same = source["doc_id"].eqNullSafe(F.col("__first")) & (F.xxhash64(source["text"]) == F.col("__raw"))
+    source = source.join(F.broadcast(firsts) if bounded else firsts.hint("shuffle_hash"), same, "left_semi")
 
     def kernel():
-        return lambda doc_id, text: [(doc_id, _text_hash(_words(text)), shingle_hashes(text))]
+        def one(text):
+            words = _words(text)
+            return [(_text_hash(words), shingle_hashes(words).tolist())]
 
-    sets = map_rows(source, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "id long, grams array<long>"))
-    sets = wanted.join(sets.withColumnRenamed("doc_id", "first"), ["id", "first"]).dropDuplicates(["id"])
-    grams = materialize(sets.select("id", "grams"), "dedup-grams")
+        return one
+
+    sets = map_rows(source, ["text"], kernel, struct("id long, grams array<long>"))
+    grams = materialize(sets.dropDuplicates(["id"]), "dedup-grams")
     both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(common >= SIMILARITY * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+    return both.where(common * (DENOMINATOR + NUMERATOR) >= (F.size("ga") + F.size("gb")) * NUMERATOR).select("a", "b")
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, component_id): groups of near copies, component_id being the smallest doc_id reachable.
+    """(doc_id, text_hash, component_id): groups of near copies, component_id being the smallest doc_id reachable."""
+    return _groups(docs).select("doc_id", "text_hash", "component_id")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw, text_hash, root, component_id) of every row.
 
     Equal texts are one row from the start.  Families are variants of one text, so each text first
     tries the most copied text that it meets in any list.  Where members of a list are still apart,
-    each is compared with its next ``NEIGHBOURS`` in two sort orders (all of them in lists of up to
-    ``NEIGHBOURS`` + 1), and with each other component the nearest of those goes on to be verified.
-    Every step makes rows in proportion to postings, never to pairs.
+    every pair of different components is then verified: what is left out is tied already.
     """
     rows = materialize(_digests(docs), "dedup-digests")
-    texts = rows.groupBy(F.col("text_hash").alias("id")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in WIDE])
-    texts = materialize(texts, "dedup-texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
+    texts = rows.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "prefix")])
+    texts = materialize(texts.select("id", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "copies", "size", *SKETCH, "prefix"), "dedup-texts")
     lists = materialize(_lists(texts), "dedup-lists")
-    ranked = lists.join(texts.select("id", "copies"), "id")
-    centre = ranked.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"), F.max("copies").alias("copies"))
-    best = lists.join(centre, "list").where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct("copies", -F.col("centre"))).alias("centre"))
+    centre = lists.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"), F.max("copies").alias("most"))
+    best = lists.join(centre, "list").where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct("most", -F.col("centre"))).alias("centre"))
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
     roots = _roots(texts, tied)
     apart = lists.join(roots, "id")
     mixed = apart.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    apart = materialize(apart.join(mixed, "list").join(texts.select("id", *WIDE), "id"), "dedup-apart")
-    member = F.struct("id", "root", *WIDE)
+    apart = materialize(apart.join(mixed, "list").join(texts.select("id", *SKETCH), "id"), "dedup-apart")
+    member = F.struct("id", "root", "size", "at", *SKETCH)
     beside = None
-    for order in (WIDE[0], WIDE[2]):
+    for order in (SKETCH[0], SKETCH[2]):
         w = W.partitionBy("list").orderBy(order, "id")
         for k in range(1, NEIGHBOURS + 1):
             step = apart.select(member.alias("p"), F.lead(member, k).over(w).alias("q"))
             beside = step if beside is None else beside.unionByName(step)
-    bits, plausible = _plausible("p.", "q.")
-    beside = beside.where("q IS NOT NULL AND p.root <> q.root").where(plausible).withColumn("bits", bits)
-    nearest = beside.groupBy(F.col("p.id").alias("id"), F.col("q.root").alias("root")).agg(F.min_by("q.id", F.struct("bits", "q.id")).alias("other"))
-    rest = nearest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    beside = beside.where("q IS NOT NULL AND p.root <> q.root").where(_within_places("p.", "q.") & _plausible("p.", "q."))
+    rest = beside.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     rest = _verified(rest, docs, texts, tallied=True)
     roots = _roots(texts, materialize(tied.unionByName(rest), "dedup-links"))
     grouped = roots.join(texts.select("id", "first"), "id")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "root").select(F.col("id").alias("text_hash"), "component_id")
-    return rows.select("doc_id", "text_hash").join(named, "text_hash")
+    named = grouped.join(smallest, "root").select(F.col("id").alias("text_hash"), "root", "component_id")
+    return rows.select("doc_id", "raw", "text_hash").join(named, "text_hash")
 
 
 def _roots(texts: DataFrame, edges: DataFrame) -> DataFrame:

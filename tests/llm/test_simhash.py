@@ -95,6 +95,26 @@ def test_large_family_uses_its_commonest_text(spark):
     assert {r["component_id"] for r in simhash.near_copy_groups(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("long", [60, 300])
+def test_every_kind_of_edit(spark, long):
+    """Copies with words appended, cut off, put in as a block or changed here and there: each pair at 0.8 or more is found."""
+    rng = random.Random(long)
+    rows = []
+    for part in (0.02, 0.1, 0.14, 0.17, 0.19):
+        for kind in range(4):
+            for _ in range(5):
+                base = [f"u{rng.getrandbits(40):x}" for _ in range(long)]
+                n, at = int(part * long), rng.randrange(long)
+                new = [f"v{rng.getrandbits(40):x}" for _ in range(n)]
+                edited = (base + new, base[: long - n], base[:at] + new + base[at:], [w if rng.random() > part / 9 else "x" for w in base])[kind]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    sets = {t: shingles(t) for _, t in rows}
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    want = {k: rows[k - 1][0] if k % 2 and alike(rows[k - 1][1], t) else k for k, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) < 0.8 * len(rows) and got == want
+
+
 def test_broadcast_and_join_agree(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = sorted(map(tuple, simhash.near_copy_groups(docs).collect()))
