@@ -180,8 +180,6 @@ NUMERATOR, DENOMINATOR = 4, 5
 SKETCH = tuple(f"s{i}" for i in range(8))
 #: One text in SAMPLED tells which shingles are common: those of COMMON sampled texts or more, COMMONS of them at most.
 SAMPLED, COMMON, COMMONS = 16, 4, 100_000
-#: Following members of a list with which one is compared, in each of two sort orders.
-NEIGHBOURS = 3
 #: Candidate texts whose doc_ids are broadcast (some 24 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -313,18 +311,16 @@ def _groups(docs: DataFrame) -> DataFrame:
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
     roots = _roots(texts, tied)
+    # the pairs of different components: one side at least is outside the list's largest component
     apart = lists.join(roots, "id")
-    mixed = apart.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    apart = materialize(apart.join(mixed, "list").join(texts.select("id", *SKETCH), "id"), "dedup-apart")
+    counted = apart.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = counted.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("list", "major")
+    apart = materialize(apart.join(major, "list").join(texts.select("id", *SKETCH), "id"), "dedup-apart")
     member = F.struct("id", "root", "size", "at", *SKETCH)
-    beside = None
-    for order in (SKETCH[0], SKETCH[2]):
-        w = W.partitionBy("list").orderBy(order, "id")
-        for k in range(1, NEIGHBOURS + 1):
-            step = apart.select(member.alias("p"), F.lead(member, k).over(w).alias("q"))
-            beside = step if beside is None else beside.unionByName(step)
-    beside = beside.where("q IS NOT NULL AND p.root <> q.root").where(_within_places("p.", "q.") & _plausible("p.", "q."))
-    rest = beside.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    minor = apart.where("root <> major").select("list", "major", member.alias("p"))
+    met = minor.join(apart.select("list", member.alias("q")), "list").where("p.root <> q.root AND (q.root = major OR p.id < q.id)")
+    met = met.where(_within_places("p.", "q.") & _plausible("p.", "q."))
+    rest = met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     rest = _verified(rest, docs, texts, tallied=True)
     roots = _roots(texts, materialize(tied.unionByName(rest), "dedup-links"))
     grouped = roots.join(texts.select("id", "first"), "id")

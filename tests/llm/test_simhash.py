@@ -95,6 +95,27 @@ def test_large_family_uses_its_commonest_text(spark):
     assert {r["component_id"] for r in simhash.near_copy_groups(docs).collect()} == {0}
 
 
+def test_crowded_family_tries_all_pairs(spark):
+    """Each of a family's unlike branches has its own pairs: none is left out where branches share the lists."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for branch in range(150):  # branches share words, but too few shingles to be tied to each other
+        words = list(base)
+        for i in rng.sample(range(0, 200, 5), 9):
+            words[i] = f"b{branch}x{i}"
+        for copy in range(2):
+            own = list(words)
+            for i in rng.sample(range(200), 2):
+                own[i] = f"c{branch}x{copy}x{i}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {t: shingles(t) for _, t in rows}
+    want = brute_components(rows, lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    docs = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(docs).collect()}
+    assert 120 < len(set(want.values())) < 240 and got == want
+
+
 @pytest.mark.parametrize("long", [60, 300])
 def test_every_kind_of_edit(spark, long):
     """Copies with words appended, cut off, put in as a block or changed here and there: each pair at 0.8 or more is found."""
