@@ -33,7 +33,6 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, struct, table, with_key
@@ -338,17 +337,24 @@ def _roots(texts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one row of each group of near copies stays (its smallest doc_id), with the same columns."""
-    found = near_copy_groups(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), F.col("n").alias("__times")), "dedup-keep")
-    # the kept ids are the build side; texts stream past unsorted
-    kept_rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__keep")), "inner")
+    """Pipeline stage: one row of each group of near copies stays, with the same columns: its smallest doc_id.
+
+    A row is known by doc_id and text, so rows that share or lack a doc_id go by their own groups;
+    null ids come last, and of one id the smallest hash of the text comes first.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "raw")
+    found = _groups(docs)
+    chosen = found.groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.raw")
+    times = found.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("raw").alias("r"), "n")
+    keep = chosen.join(times, chosen["doc_id"].eqNullSafe(times["d"]) & (chosen["raw"] == times["r"]), "left")
+    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), F.col("raw").alias("__raw"), F.coalesce("n", F.lit(1)).alias("__times")), "dedup-keep")
+    # the kept rows' ids and hashes are the build side; texts stream past unsorted
+    same = docs["doc_id"].eqNullSafe(F.col("__keep")) & (F.xxhash64(docs["text"]) == F.col("__raw"))
+    kept_rows = docs.join(keep.hint("shuffle_hash"), same, "inner")
     columns = [f"`{c}`" for c in docs.columns]
     once = kept_rows.where("__times = 1").select(*columns)
     if keep.where("__times > 1").isEmpty():
         return once
-    # rows that repeat a doc_id: the first by text
-    order = W.partitionBy("doc_id").orderBy("text")
-    again = kept_rows.where("__times > 1").withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*columns)
+    # rows that repeat doc_id and text: any one of them, chosen before the shuffle
+    again = kept_rows.where("__times > 1").dropDuplicates(["__keep", "__raw"]).select(*columns)
     return once.unionByName(again)

@@ -136,6 +136,17 @@ def test_every_kind_of_edit(spark, long):
     assert len(set(want.values())) < 0.8 * len(rows) and got == want
 
 
+def test_rows_that_share_or_lack_an_id(spark):
+    text = lambda seed: " ".join(f"w{random.Random(f'{seed}{i}').getrandbits(30)}" for i in range(60))
+    near = text("a").rsplit(" ", 2)[0] + " other end"
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, near), (1, text("c")), (1, text("d")), (1, text("c")), (2, text("d")), (3, text("e")), (3, text("f")), (4, text("e")), (None, text("f"))]
+    out = [tuple(r) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    first = [r for r in out if r in ((None, text("a")), (None, near))]
+    assert len(first) == 1
+    assert sorted(r for r in out if r[0]) == sorted([(1, text("c")), (1, text("d")), (3, text("e")), (3, text("f"))])
+    assert [r for r in out if r[0] is None and r not in first] == [(None, text("b"))]
+
+
 def test_broadcast_and_join_agree(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = sorted(map(tuple, simhash.near_copy_groups(docs).collect()))
