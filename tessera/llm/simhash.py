@@ -33,6 +33,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, struct, table, with_key
@@ -241,8 +242,8 @@ def _digests(docs: DataFrame) -> DataFrame:
 def _lists(texts: DataFrame) -> DataFrame:
     """(list, id, size, at, copies): postings of lists with two members or more; ``at`` is the shingle's place in its text."""
     posted = texts.select("id", "size", "copies", F.posexplode("prefix").alias("at", "list"))
-    lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
-    return posted.join(lengths, "list")
+    # a window deals the postings out once, where counting and joining would do it twice
+    return posted.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("list"))).where("n > 1").drop("n")
 
 
 def _plausible(left: str, right: str) -> Column:
@@ -305,8 +306,9 @@ def _groups(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "prefix")])
     texts = materialize(texts.select("id", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "copies", "size", *SKETCH, "prefix"), "dedup-texts")
     lists = materialize(_lists(texts), "dedup-lists")
-    centre = lists.groupBy("list").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("centre"), F.max("copies").alias("most"))
-    best = lists.join(centre, "list").where("id <> centre").groupBy("id").agg(F.max_by("centre", F.struct("most", -F.col("centre"))).alias("centre"))
+    centre = lists.groupBy("list").agg(F.max_by(F.struct("id", "size", "at", "copies"), F.struct("copies", -F.col("id"))).alias("c"))
+    best = lists.select("list", F.struct("id", "size", "at").alias("p")).join(centre, "list").where("p.id <> c.id").where(_within_places("p.", "c."))
+    best = best.groupBy("p.id").agg(F.max_by("c.id", F.struct("c.copies", -F.col("c.id"))).alias("centre"))
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
     roots = _roots(texts, tied)
