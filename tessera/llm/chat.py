@@ -3,9 +3,9 @@
 A conversation is rendered once: every turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``.  The
 rendering only ever appends, so the example of the k-th assistant turn (all preceding turns as
 context, only that reply trainable) is a *prefix* of it: an example is (rendered conversation, where
-its reply starts, where it ends).  Examples are exploded as such spans; :func:`materialize_examples`
-cuts out prompt and target where a trainer wants them spelled out.  A conversation of n turns so
-costs its own length instead of n times it.
+its reply starts, where it ends).  :func:`expand` explodes examples as such spans, so that a
+conversation of n turns costs its own length; the query spells out each prompt and target
+(:func:`example_rows`) and reads turns and loss back from those rows.
 
 Control strings inside texts are escaped reversibly: ``\\`` is doubled, then ``<|`` becomes ``<\\|``.
 An escaped text has no ``<|`` at all, so the markers delimit exactly; unescaping is the two
@@ -115,25 +115,50 @@ def probe(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return made.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in made.columns])
 
 
+def example_rows(made: DataFrame) -> DataFrame:
+    """(conv_id, part, seen, prompt, target): renderings of :func:`format_conversations` expanded, one row per example.
+
+    ``prompt`` holds all preceding turns and the opening of the trained one, ``target`` its text; the
+    first ``seen`` turns are in the example before as well.  A closing row a conversation, without a
+    target, has the whole rendering, which no example reaches where the last turn is not trained.
+    Rows stay where the rendering was made: grouping them by conv_id again takes no shuffle.
+    """
+    closing = F.struct(F.size("blocks").alias("turn_no"), F.lit(0).alias("lead"), F.lit(None).cast("int").alias("size"))
+    cut = made.select("conv_id", "examples", blocks(F.col("formatted")).alias("blocks"))
+    rows = cut.select("*", F.posexplode(F.concat("examples", F.array(closing))).alias("part", "e"))
+    before = F.concat_ws("", F.transform(F.slice("blocks", F.lit(1), F.col("e.turn_no")), lambda b: F.concat(F.lit(START), b)))
+    own = F.get("blocks", F.col("e.turn_no"))
+    opening = F.when(F.col("e.size").isNotNull(), F.concat(F.lit(START), F.substring(own, F.lit(1), F.col("e.lead")))).otherwise("")
+    return rows.select(
+        "conv_id",
+        "part",
+        F.coalesce(F.get("examples", F.col("part") - 1)["turn_no"] + 1, F.lit(0)).alias("seen"),
+        F.concat(before, opening).alias("prompt"),
+        F.substring(own, F.col("e.lead") + 1, F.col("e.size")).alias("target"),
+    )
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: each conversation read back from its formatted output, with its loss mask digested.
+    """Query: each conversation read back from its expanded examples, with its loss mask digested.
 
-    formatted_chars counts the code points of the rendering that all examples of the conversation share.
+    formatted_chars counts the code points of the rendering, of which all examples of the conversation are prefixes.
     """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    made = format_conversations(rows.unionByName(probe(spark, rows)))
-    spans = made.select("conv_id", "formatted", "examples", blocks(F.col("formatted")).alias("blocks"))
-    spans = spans.withColumn("turns", read_back(F.col("blocks")))
-    loss = F.transform("examples", lambda e: unescape(F.substring(F.get("blocks", e["turn_no"]), e["lead"] + 1, e["size"])))
-    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    digests = spans.select("conv_id", "formatted", "turns", whole.alias("whole"), F.concat_ws("", loss).alias("loss"))
-    return digests.select(
+    expanded = example_rows(format_conversations(rows.unionByName(probe(spark, rows))))
+    cut = blocks(F.concat("prompt", F.coalesce(F.concat("target", F.lit(END + "\n")), F.lit(""))))
+    read = expanded.select("conv_id", "part", "seen", "target", F.when(F.col("target").isNull(), F.length("prompt")).alias("chars"), cut.alias("cut"))
+    turns = read_back(F.slice("cut", F.col("seen") + 1, F.greatest(F.size("cut") - F.col("seen"), F.lit(0))))
+    read = read.select("conv_id", "chars", F.struct("part", turns.alias("turns"), unescape(F.col("target")).alias("loss")).alias("p"))
+    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("parts"), F.max("chars").alias("chars"))
+    whole = whole.select("conv_id", "chars", F.flatten(F.col("parts.turns")).alias("turns"), F.concat_ws("", F.col("parts.loss")).alias("loss"))
+    text = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return whole.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.sha2("whole", 256).alias("turns_sha256"),
+        F.sha2(text, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )
 
 

@@ -41,6 +41,16 @@ def test_examples_are_prefixes(spark, odd_dir):
     assert sorted(got) == sorted(want)
 
 
+def test_query_reads_expanded_examples(spark, odd_dir):
+    """The query's own rows are the examples, and reading them back shuffles nothing a second time."""
+    rows = spark.read.parquet(f"{odd_dir}/conversations.parquet").where("conv_id IS NOT NULL")
+    want = sorted(map(tuple, chat.materialize_examples(rows).select("conv_id", "prompt", "target").collect()))
+    made = chat.example_rows(chat.format_conversations(rows)).where("target IS NOT NULL").select("conv_id", "prompt", "target")
+    assert sorted(map(tuple, made.collect())) == want
+    plan = chat.op6_chat(spark, odd_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = chat.op6_chat(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
