@@ -72,6 +72,9 @@ def _names(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, str]:
     return furniture, article, role
 
 
+_COMMENT_END = re.compile(r"--(?:!|\s*)>")
+
+
 class _Blocks(HTMLParser):
     """Collects (text, tags, dropped, article, linked characters) blocks from parser events."""
 
@@ -156,6 +159,11 @@ class _Blocks(HTMLParser):
         if self.in_links:
             self.linked += len(data)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """End of the comment at ``i``; the page is fed whole, so an open one runs to its end."""
+        close = _COMMENT_END.search(self.rawdata, i + 4)
+        return close.end() if close else len(self.rawdata)
+
     def finish(self) -> list:
         self.close()
         self._flush()
@@ -202,9 +210,6 @@ def extract(html: str | None) -> str:
     """The main text of one whole page."""
     if not html:
         return ""
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:
-        html = html[:comment]  # an open comment runs to the end
     parser = _Blocks()
     parser.feed(html)
     blocks = parser.finish()

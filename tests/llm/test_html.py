@@ -43,6 +43,20 @@ def test_nothing_there(page):
     assert html_text.extract(page) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<script>var a = '<!--';</script><article><p>Text</p></article>", "Text"),
+        ("<article><p title='<!-- x'>Text</p></article>", "Text"),
+        ("<!-- hidden --!><article><p>Text</p></article>", "Text"),
+        ("<article><p>Text</p><!-- open <p>hidden</p></article>", "Text"),
+        ("<article><p>Text</p><!-- done --><p>more</p><!-- <b>open", "Text more"),
+    ],
+)
+def test_comments_stand_where_the_parser_says(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_pages_table(spark, sf_dir):
     """The generated pages have one article: its blocks, entities decoded."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
