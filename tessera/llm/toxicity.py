@@ -20,6 +20,7 @@ rows are scored one by one; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import re
 import uuid
 from zlib import crc32
 
@@ -40,10 +41,38 @@ CLEAN_WORST, CLEAN_SPREAD = 3, 12
 _TRIM = "\"'()[]{}.,;:!?#$%&*<>|-_/\\"
 
 
+#: Bytes of a word at most; longer chunks are words in pieces, cut ones overlapping by a character less than the longest n-gram.
+LONGEST = 62
+_BREAKS = re.compile("[!-/:-@\\[-`{-~\u2010-\u2027\u2030-\u205e\u3000-\u303f\uff01-\uff0f]+")
+
+
+def split_words(text: str | None) -> list[str]:
+    """Words of a whole text: its white-space chunks, long ones split at punctuation and then by length."""
+    words = (text or "").split()
+    if not words or max(map(len, words)) * 4 <= LONGEST:
+        return words
+    return [piece for w in words for piece in (_pieces(w) if len(w) * 4 > LONGEST else (w,))]
+
+
+def _pieces(word: str) -> list[str]:
+    plain = word.lower().strip(_TRIM)
+    if len(plain.encode("utf-8", "surrogatepass")) <= LONGEST:
+        return [word]
+    out = []
+    for part in filter(None, _BREAKS.split(plain)):
+        width = LONGEST // max(len(c.encode("utf-8", "surrogatepass")) for c in part)
+        if len(part.encode("utf-8", "surrogatepass")) <= LONGEST:
+            out.append(part)
+        else:
+            step = width - max(GRAMS) + 1
+            out += [part[i : i + width] for i in range(0, max(len(part) - max(GRAMS) + 1, 1), step)]
+    return out or [""]
+
+
 def word_buckets(word: str) -> list[int]:
     """Hashed n-grams of a trimmed, lower-cased word with its borders, and the word itself."""
     plain = word.lower().strip(_TRIM)
-    raw = f"<{plain}>".encode("utf-8", "surrogatepass")[:64]
+    raw = f"<{plain}>".encode("utf-8", "surrogatepass")
     grams = [raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)]
     grams.append(raw)
     return [crc32(g) & (BUCKETS - 1) for g in grams]
@@ -78,7 +107,7 @@ class _Corpus:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in t.split()], dtype=np.int64) for t in texts]
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in split_words(t)], dtype=np.int64) for t in texts]
         lists = [word_buckets(w) for w in number]
         self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if lists else np.zeros(0, np.int64)
@@ -190,7 +219,7 @@ class Scorer:
     def score_all(self, texts: list[str | None]) -> list[tuple[float]]:
         out, look = [], self.cache.__getitem__
         for text in texts:
-            words = (text or "").split()
+            words = split_words(text)
             top = worst_windows(np.fromiter(map(look, words), dtype=np.float64, count=len(words))).max() if words else self.model.background
             out.append((float(_sigmoid(self.model.scale * top + self.model.shift)),))
         return out

@@ -30,6 +30,20 @@ def test_unseen_misspellings_share_character_grams():
     assert all(0 <= s <= 1 for s in scores)
 
 
+def test_long_chunks_count_to_their_end():
+    texts, labels = corpus(1200, ["worthless", "stupid", "disgusting", "pathetic"], 1)
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    clean = [t for t, y in zip(texts, labels) if not y][:10]
+    for glue in (",", "-", "/", "_"):
+        for text in clean:
+            glued = glue.join(text.split()[:20])
+            marked = glue.join([glued, "worthless", "stupid"])
+            assert scorer.score_all([marked])[0][0] > scorer.score_all([glued])[0][0]
+    long = "".join(chr(0x4E00 + i) for i in range(300))
+    assert all(g in " ".join(toxicity.split_words(long)) for g in (long[i : i + 5] for i in range(296)))
+    assert toxicity.split_words("a b, " + "c" * 15) == ["a", "b,", "c" * 15]
+
+
 def test_windows():
     scores = np.array([0.0, 1, 2, 3, 10, 0])
     assert toxicity.worst_windows(scores, 3).tolist() == [1.0, 2.0, 5.0, 13 / 3]
