@@ -2,23 +2,28 @@
 
 *Base rules* find e-mail addresses, IPv4 addresses, payment cards and international phone numbers
 by pattern and check; what they find is always kept.  *Candidate generators* with high recall then
-propose further, overlapping spans (written-out addresses, phone numbers without a plus, card-like
-digit groups, IPv6).  Gradient-boosted trees over format and context features give each candidate a
-probability, and a threshold per kind, calibrated for precision, selects what is added.
+propose further, overlapping spans: written-out addresses, IPv6, card-like digit groups, phone
+numbers without a plus, and unbroken runs of letters and digits that may be credentials (the kind
+``secret``, which has no base rule).  Gradient-boosted trees over format and context features give
+each candidate a score; a threshold per kind, calibrated for precision on strings whose words, cues
+and formats the trees have not seen, selects what is added.  Of overlapping candidates above their
+thresholds the surest stays.
 
 Matching needs positions, which SQL's regular expressions do not return: a text split by a pattern
 gives the pieces between the matches, so running sums of piece and match lengths are the offsets
-(code points).  Patterns start only where a match can start and use possessive loops, so that long
-runs of one character class take linear time and no recursion.
+(code points).  Everything is linear in a text, or linear times a logarithm: running sums go by
+blocks (an accumulator that is appended to is copied), a candidate's context comes from the pieces
+beside it, base spans are met by binary search, and a text is cut at offsets block by block.
+Patterns start only where a match can start and use possessive loops.
 
-Trees are fitted once per call, on the driver, on ``TRAINING_ROWS`` generated labelled strings (the
-bound is that parameter); their features come from the same SQL expressions that score documents.
-A fitted forest is a sum of CASE expressions.  Scale: one map over the documents, no shuffle, no
-Python worker.
+Trees are fitted once per process, on the driver, on ``TRAINING_ROWS`` generated labelled strings
+(the bound is that parameter); their features come from the same SQL expressions that score
+documents.  Scale: one map over the documents, no shuffle, no Python worker.
 
 Defined results: null and empty texts have no spans; overlaps between kinds are kept by the base
-rules; an added span never overlaps a base span or a better added one; repeated rows give one row
-each; an empty table gives an empty result; extra columns are ignored.
+rules; an added span never overlaps a base span or a surer added one (ties: the kind listed first,
+then the earlier start); repeated rows give one row each; an empty table gives an empty result;
+extra columns are ignored by the query and carried by the stage.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Generated labelled strings that the trees see; trees, depth, shrinkage; precision asked of added spans.
+#: Kinds of added spans: the base kinds, and credentials.
+ALL_KINDS = (*KINDS, "secret")
+#: Generated labelled strings that the trees see, and as many again that calibrate; trees, depth, shrinkage; precision asked of added spans.
 TRAINING_ROWS, TREES, DEPTH, SHRINKAGE, PRECISION = 3000, 24, 3, 0.3, 0.98
 
 BASE = {
@@ -44,21 +51,54 @@ BASE = {
 #: A text without this has no match; a cheap test before the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
+# Every candidate has 6 to 200 characters, and those of one kind never overlap.
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({<]?(?:@|at|AT)[\])}>]? ?[A-Za-z0-9-]{1,63}+ ?[\[({<]?(?:\.|dot|DOT)[\])}>]? ?[A-Za-z]{2,12}+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\(?[0-9]{2,5}\)?[ .-]{1,2}){1,4}[0-9]{3,5}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,199}+[0-9])(?=[0-9+/_=-]{0,199}+[A-Za-z])[A-Za-z0-9+/_=-]{16,200}+(?![A-Za-z0-9+/_=-])",
 }
-GENERATOR_NEEDS = {"email": r"(?:@|\bat\b|[\[({<]at|AT).{1,80}(?:dot|DOT|\.)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]{2}", "phone": r"[0-9]\)?[ .-]{1,2}[0-9]"}
+GENERATOR_NEEDS = {"email": r"(?:@|\bat\b|[\[({<]at|AT).{1,80}(?:dot|DOT|\.)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]{2}", "phone": r"[0-9]\)?[ .-]{1,2}[0-9]", "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}"}
+#: Candidates that can start within the length of the longest one, all kinds together.
+NEIGHBOURS = 130
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|contact|write|reach|address|correo|courriel|@)",
     "ip": r"(?i)(?:\bip|host|server|addr|login|from|client|gateway|dns)",
     "card": r"(?i)(?:card|visa|master|credit|debit|payment|amex|cc|karte|carte|tarjeta)",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|number|whatsapp|dial|contact|sms)",
+    "secret": r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|credential|jwt|signature)",
 }
-AGAINST = r"(?i)(?:isbn|order|invoice|version|ver|date|page|id|ref|sku|serial|build|chapter|section|figure|total|price|sum|[$€£#=/]|v)\s*[:#.=]?\s*$"
+AGAINST = r"(?i)(?:isbn|order|invoice|version|ver|date|page|id|ref|sku|serial|build|chapter|section|figure|total|price|sum|commit|branch|file|path|image|url|[$€£#=/]|v)\s*[:#.=]?\s*$"
 WINDOW = 24
+#: Elements of a running sum that share one accumulator, and characters of a text that are cut from at once.
+BLOCK, CUT = 256, 1024
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and deeply ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# SQL text rather than columns where an expression is long and used often: it reaches the JVM in one call.
+
+
+def _scan(values: str, op: str) -> str:
+    """Running totals; ``op`` is SQL over a and b."""
+    step = f"transform(array({op.format(a='s.at', b='x')}), y -> named_struct('at', y, 'out', concat(s.out, array(y))))[0]"
+    return f"aggregate({values}, named_struct('at', 0, 'out', cast(array() AS array<int>)), (s, x) -> {step}, s -> s.out)"
+
+
+def running(values: str, op: str = "({a} + {b})") -> str:
+    """SQL of the running totals (each with its own element) of an array of ints from 0, under an associative ``op``.
+
+    Appending copies the accumulator, so values go by blocks: totals within each, and of the blocks before.
+    """
+    blocks = f"transform(sequence(0, cast(floor((size(v) - 1) / {BLOCK}) AS int)), k -> slice(v, k * {BLOCK} + 1, {BLOCK}))"
+    ends = _scan(f"transform(bs, b -> aggregate(b, 0, (p, q) -> {op.format(a='p', b='q')}))", op)
+    shifted = f"transform({_scan('b', op)}, t -> {op.format(a='coalesce(get(e, j - 1), 0)', b='t')})"
+    whole = f"transform(array({blocks}), bs -> transform(array({ends}), e -> flatten(transform(bs, (b, j) -> {shifted})))[0])[0]"
+    return f"transform(array({values}), v -> CASE WHEN size(v) <= {BLOCK} THEN {_scan('v', op)} ELSE {whole} END)[0]"
 
 
 def _digits(text: Column) -> Column:
@@ -66,15 +106,13 @@ def _digits(text: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    from_right = F.split(F.reverse(digits), "")
+    """Whether a string of digits passes the Luhn check; ``digits`` is read digit by digit, so a computed one comes through :func:`let`."""
 
-    def weigh(c, k):
-        d = F.try_to_number(c, F.lit("9")).cast("int")
-        twice = d * 2
-        return F.when(k % 2 == 0, d).when(twice > 9, twice - 9).otherwise(twice)
+    def weigh(i):
+        d = F.ascii(F.substring(digits, i, F.lit(1))) - 48
+        return F.when((F.length(digits) - i) % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.transform(from_right, weigh), F.lit(0), lambda s, d: s + F.coalesce(d, F.lit(0))) % 10 == 0
+    return F.when(F.length(digits) > 0, F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + weigh(i)) % 10 == 0).otherwise(False)
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -82,65 +120,58 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: F.coalesce(F.regexp_replace(p, r"^0+(?=[0-9])", "").try_cast("int") <= 255, F.lit(False)))
     if kind == "card":
-        digits = _digits(match)
-        return F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(False)
+        return let(_digits(match), lambda digits: F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
     return F.lit(True)
 
 
-def _validator(kind: str):
-    return lambda span: _valid(kind, span["value"])
-
+def matches(text: str, pattern: str, kind: int | None = None) -> str:
+    """SQL of array<struct<start, end, value>>: the leftmost non-overlapping matches of a pattern in an SQL string, in order.
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in order; linear in their number but for array growth."""
-    lengths = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    found = F.arrays_zip(lengths.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    return found
+    Candidates, of a ``kind``, have that number first and at their end ``before``, the last ``WINDOW``
+    characters ahead of a match as far as the match before reaches back, and ``after``, the next one.
+    """
+    first, rest = "", ""
+    if kind is not None:
+        before = f"right(CASE WHEN length(get(m.gaps, k)) >= {WINDOW} THEN get(m.gaps, k) ELSE concat(coalesce(get(m.found, k - 1), ''), get(m.gaps, k)) END, {WINDOW})"
+        after = "left(CASE WHEN get(m.gaps, k + 1) <> '' THEN get(m.gaps, k + 1) ELSE coalesce(get(m.found, k + 1), '') END, 1)"
+        first, rest = f"'kind', {kind}, ", f", 'before', {before}, 'after', {after}"
+    ends = running("transform(m.found, (w, k) -> length(get(m.gaps, k)) + length(w))")
+    made = f"transform(m.found, (w, k) -> named_struct({first}'start', e[k] - length(w), 'end', e[k], 'value', w{rest}))"
+    split = f"named_struct('gaps', split({text}, r'{pattern}', -1), 'found', regexp_extract_all({text}, r'{pattern}', 0))"
+    return f"transform(array({split}), m -> transform(array({ends}), e -> {made})[0])[0]"
 
 
-def _located(found: Column) -> Column:
-    """Running offsets over array<struct<gap, value>> whose last element has no value."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
+_EMPTY = "array<struct<start:int,end:int,value:string>>"
 
-    def step(s, m):
-        start = s["at"] + m["gap"]
-        end = start + F.coalesce(F.length(m["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(m["value"].isNull(), s["spans"]).otherwise(F.concat(s["spans"], F.array(span))).alias("spans"))
 
-    return F.aggregate(found, zero, step, lambda s: s["spans"])
+def _held(text: str) -> str:
+    return f"coalesce(`{text}`, '')"
 
 
-_EMPTY = "array<struct<start:int,end:int,value:string>>"
+def base_spans(text: str, kind: str) -> Column:
+    """The valid base spans of one kind in a column of texts."""
+    held = F.expr(_held(text))
+    found = F.filter(F.expr(matches(_held(text), BASE[kind])), lambda span: _valid(kind, span["value"]))
+    may = F.contains(held, F.lit(NEEDS[kind])) if NEEDS[kind] else held.rlike("[0-9](?:[ -]?[0-9]){15}")
+    return F.when(may, found).otherwise(F.array().cast(_EMPTY))
 
 
 def with_base(docs: DataFrame, text: str = "text", prefix: str = "__pii_") -> DataFrame:
     """``docs`` with one array of valid base spans per kind."""
-    held = docs.withColumn(f"{prefix}t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    t = F.col(f"{prefix}t")
-    for kind in KINDS:
-        found = matches(t, BASE[kind])
-        if NEEDS[kind]:
-            found = F.when(F.contains(t, F.lit(NEEDS[kind])), found)
-        held = held.withColumn(f"{prefix}{kind}", found)
-    for kind in KINDS:
-        spans = F.filter(_located(F.col(f"{prefix}{kind}")), _validator(kind))
-        held = held.withColumn(f"{prefix}{kind}", F.when(F.size(f"{prefix}{kind}") > 1, spans).otherwise(F.array().cast(_EMPTY)))
-    return held
+    return docs.withColumns({f"{prefix}{kind}": base_spans(text, kind) for kind in KINDS})
 
 
-FEATURES = ("kind", "length", "digits", "groups", "longest", "dots", "dashes", "spaces", "parens", "letters", "at_sign", "luhn", "context", "against", "glued_before", "glued_after", "first_digit", "zeros")
+FEATURES = ("kind", "length", "digits", "groups", "longest", "dots", "dashes", "spaces", "parens", "letters", "at_sign", "luhn", "context", "against", "glued_before", "glued_after", "first_digit", "zeros", "distinct", "hex", "cases")
 
 
 def features(kind: Column, value: Column, before: Column, after: Column) -> Column:
-    """array<double> in the order of FEATURES: a candidate's format and the words around it; ``kind`` is a place in KINDS."""
+    """array<double> in the order of FEATURES: a candidate's format and the words around it; ``kind`` is a place in ALL_KINDS."""
     count = lambda what: F.regexp_count(value, F.lit(what)).cast("double")
-    digits = _digits(value)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    cues = F.array(*[F.lit(CONTEXT[k]) for k in KINDS])
-    return F.array(
+    cue = F.coalesce(*[F.when(kind == i, before.rlike(CONTEXT[k])) for i, k in enumerate(ALL_KINDS)], F.lit(False))
+    return let(_digits(value), lambda digits: F.array(
         kind.cast("double"),
         F.length(value).cast("double"),
         F.length(digits).cast("double"),
@@ -153,57 +184,86 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> Colu
         count("[A-Za-z]"),
         flag(F.contains(value, F.lit("@"))),
         flag(F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)),
-        flag(F.rlike(before, F.get(cues, kind))),
+        flag(cue),
         flag(before.rlike(AGAINST)),
         flag(before.rlike(r"[A-Za-z0-9_./-]$")),
         flag(after.rlike(r"^[A-Za-z0-9_/-]")),
         F.coalesce(F.substring(digits, 1, 1).try_cast("double"), F.lit(-1.0)),
         F.regexp_count(digits, F.lit("0")).cast("double"),
-    )
+        F.size(F.array_distinct(F.split(value, ""))).cast("double"),
+        flag(value.rlike("^[0-9A-Fa-f]+$")),
+        flag(value.rlike("[a-z]")) + flag(value.rlike("[A-Z]")),
+    ))
+
+
+#: Words before a value that speak for its kind, by kind: the first half trains, the second calibrates; and words that speak against it.
+CUES = {
+    "email": ("email", "contact", "write to", "mail address"), "ip": ("from ip", "server", "host", "client"), "card": ("card", "visa", "credit card", "payment by"),
+    "phone": ("phone", "call", "tel.", "mobile"), "secret": ("token =", "api key:", "secret", "password =", "bearer", "auth:"),
+}
+DECOYS = ("order", "version", "isbn", "page", "ref", "invoice", "total $", "serial")
+DECOY_NAMES = ("commit", "file", "path", "build", "image", "branch")
 
 
-def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """Generated (kind, before, value, after, label): formats in which people write personal data, and look-alikes."""
-    rng = random.Random(seed)
-    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("abcdefghilmnoprstuvw") for _ in range(rng.randint(2, 9)))
+def training_rows(n: int = TRAINING_ROWS, seed: int = 11, held_out: bool = False) -> list[tuple[str, str, str, str, int]]:
+    """Generated (kind, before, value, after, label): formats in which people write personal data, and look-alikes.
+
+    Held-out rows are made of other letters, cues and formats than those that train.
+    """
+    rng = random.Random(seed + held_out)
+    letters = "aeioubcdfgjkpqxyz" if held_out else "abcdefghilmnoprstuvw"
+    mine = lambda options: rng.choice(options[1::2] if held_out and len(options) > 1 else options[::2] if len(options) > 1 else options)
+    draw = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    d = lambda k: draw(k, "0123456789")
+    word = lambda: draw(rng.randint(2, 9), letters)
+    low, mixed = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def grouped(digits: str, sep: str) -> str:
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def check_digit(body: str) -> str:
         total = sum(sum(divmod(int(c) * (2 if k % 2 == 0 else 1), 10)) for k, c in enumerate(reversed(body)))
         return body + str(-total % 10)
 
     def positive(kind: str) -> tuple[str, str]:
-        cue = {"email": ("email", "contact", "write to", "mail:"), "ip": ("from ip", "server", "host"), "card": ("card", "visa", "credit card"), "phone": ("phone", "call", "tel.", "mobile")}[kind]
-        before = f"{word()} {rng.choice(cue)} " if rng.random() < 0.7 else f"{word()} {word()} "
+        if kind == "secret":
+            value = mine((draw(40, low), draw(32, low), draw(rng.randint(24, 48), mixed), draw(64, low), "sk_" + draw(32, mixed), "ghp_" + draw(36, mixed)))
+            return f"{word()} {mine(CUES[kind])} {rng.choice(('', chr(34), chr(39)))}", value.upper() if rng.random() < 0.2 else value
+        before = f"{word()} {mine(CUES[kind])} " if rng.random() < 0.7 else f"{word()} {word()} "
         if kind == "email":
-            a, z = rng.choice((("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), ("@", "."), (" @ ", ".")))
-            return before, f"{word()}{rng.choice(('', '.' + word(), d(2)))}{a}{word()}{z}{rng.choice(('com', 'org', 'net', 'de', 'fr'))}"
+            a, z = mine((("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), ("@", "."), (" @ ", ".")))
+            return before, f"{word()}{rng.choice(('', '.' + word(), d(2)))}{a}{word()}{z}{mine(('com', 'org', 'net', 'de', 'fr', 'io'))}"
         if kind == "ip":
-            return before, ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
+            return before, ":".join(draw(4, low) for _ in range(8))
         if kind == "card":
             digits = check_digit(rng.choice("3456") + d(rng.choice((12, 13, 14, 14, 14))))
-            return before, rng.choice((digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))))
+            return before, mine((digits, grouped(digits, " "), grouped(digits, "-"), digits))
         s = rng.choice(" .-")
-        return before, rng.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0{d(2)}{s}{d(2)}{s}{d(2)}{s}{d(3)}", f"({d(3)}){s}{d(3)}{s}{d(4)}"))
+        return before, mine((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"({d(3)}){s}{d(3)}{s}{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)}{s}{d(2)}{s}{d(2)}{s}{d(3)}", f"0{d(2)}-{d(2)} {d(2)} {d(3)}"))
 
     def negative(kind: str) -> tuple[str, str]:
-        cue = ("order", "version", "isbn", "page", "id", "ref", "invoice", "total $", "sum =", "#", "serial")
-        before = f"{word()} {rng.choice(cue)} " if rng.random() < 0.5 else f"{word()} {word()} "
+        before = f"{word()} {mine(DECOYS)} " if rng.random() < 0.5 else f"{word()} {word()} "
         if kind == "email":
-            return f"{word()} ", rng.choice((f"{word()} at {word()}.{word()[:5]}", f"{word()} at {word()}. {word()[:6]}", f"{word()}@ {word()}. {word()[:5]}"))
+            return f"{word()} ", mine((f"{word()} at {word()}.{word()[:5]}", f"{word()} at {word()}. {word()[:6]}", f"{word()}@ {word()}. {word()[:5]}", f"{word()} at {word()}. {word()[:4]}"))
         if kind == "ip":
-            return before, rng.choice((f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", ":".join(d(2) for _ in range(5))))
+            return before, mine((f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", ":".join(d(2) for _ in range(5)), f"{d(1)}:{d(2)}:{d(2)}:{d(2)}", ":".join(d(1) for _ in range(6))))
+        if kind == "secret":
+            slug = "-".join([word() for _ in range(rng.randint(2, 5))] + [d(rng.randint(1, 4)).rjust(1, "1")])
+            value = mine((slug.ljust(16, "x"), f"{word()}/{word()}/{word()}_{d(4)}".ljust(16, "a"), draw(40, low), f"{d(4)}-{d(2)}-{d(2)}T{d(2)}-{d(2)}-{d(2)}", f"IMG_{d(8)}_{d(6)}", f"{draw(8, low)}-{draw(4, low)}-{draw(4, low)}-{draw(4, low)}-{draw(12, low)}"))
+            plain = rng.random() < 0.3 and not all(c in low for c in value)
+            return (f"{word()} {word()} " if plain else f"{word()} {mine(DECOY_NAMES)} "), value
         if kind == "card":
             digits = d(rng.choice((13, 14, 15, 16, 16, 16, 17, 18, 19)))
             passes = check_digit(digits[:-1]) == digits
-            return (before if not passes else f"{word()} isbn "), digits
-        return before, rng.choice((f"{d(4)}-{d(2)} {d(3)}", f"{d(2)} {d(3)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(5)}-{d(5)}", f"{d(2)}-{d(2)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}"))
+            value = rng.choice((digits, digits, grouped(digits, " ")))
+            return (rng.choice((before, f"{word()} {mine(CUES[kind])} ")) if not passes else f"{word()} isbn "), value
+        return before, mine((f"{d(4)}-{d(2)} {d(3)}", f"{d(2)} {d(3)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(5)}-{d(5)}", f"{d(2)}-{d(2)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}"))
 
     rows = []
     for k in range(n):
-        kind, label = KINDS[k % 4], int(k // 4 % 2 == 0)
+        kind, label = ALL_KINDS[k % len(ALL_KINDS)], int(k // len(ALL_KINDS) % 2 == 0)
         before, value = (positive if label else negative)(kind)
-        rows.append((kind, before[-WINDOW:], value, rng.choice((" ", ".", ", ", " " + word())), label))
+        rows.append((kind, before[-WINDOW:], value, rng.choice((" ", ".", ", ", '" ', " " + word())), label))
     return rows
 
 
@@ -217,13 +277,15 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
         best, G, H = None, g[rows].sum(), h[rows].sum()
         if level and len(rows) > 20:
             for f in range(x.shape[1]):
-                values = np.unique(x[rows, f])
-                for cut in (values[1:] + values[:-1]) / 2 if len(values) > 1 else ():
-                    left = x[rows, f] < cut
-                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                    gain = gl**2 / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G**2 / (H + 1)
-                    if best is None or gain > best[0] + 1e-9:
-                        best = (gain, f, float(cut))
+                order = rows[np.argsort(x[rows, f], kind="stable")]
+                values = x[order, f]
+                borders = np.flatnonzero(values[1:] > values[:-1])
+                if len(borders):
+                    gl, hl = np.cumsum(g[order])[borders], np.cumsum(h[order])[borders]
+                    gains = gl**2 / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G**2 / (H + 1)
+                    k = int(gains.argmax())
+                    if best is None or gains[k] > best[0] + 1e-9:
+                        best = (float(gains[k]), f, float(values[borders[k]] + values[borders[k] + 1]) / 2)
         if best is None or best[0] < 1e-3:
             return float(SHRINKAGE * G / (H + 1))
         left = x[rows, best[1]] < best[2]
@@ -282,71 +344,81 @@ class Forest:
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)), F.lit(float(self.bias)), add)
 
 
-_FITTED: dict[tuple, Forest] = {}
+_FITTED: dict[int, Forest] = {}
 
 
-def fit(spark: SparkSession, n: int = TRAINING_ROWS) -> Forest:
-    """Fit on generated rows: two thirds train, one third calibrates thresholds; once per process."""
-    if (n,) in _FITTED:
-        return _FITTED[(n,)]
-    made = spark.createDataFrame([(k, KINDS.index(r[0]), *r) for k, r in enumerate(training_rows(n))], "k long, number int, kind string, before string, value string, after string, label int")
-    made = made.select("k", "kind", "label", features(F.col("number"), F.col("value"), F.col("before"), F.col("after")).alias("f"))
-    data = sorted((r["k"], r["kind"], r["label"], tuple(r["f"])) for r in made.collect())  # n rows, a parameter
-    x, y = np.array([r[3] for r in data]), np.array([r[2] for r in data], dtype=float)
-    calibrate = np.arange(len(data)) // 8 % 3 == 2
-    bias, trees = boost(x[~calibrate], y[~calibrate])
-    thresholds = {}
-    for kind in KINDS:
-        mine = [i for i in np.flatnonzero(calibrate) if data[i][1] == kind]
-        ranked = sorted(((bias + sum(leaf(t, x[i]) for t in trees), y[i]) for i in mine), reverse=True)
-        thresholds[kind], good = 1e9, 0
-        for k, (score, label) in enumerate(ranked, 1):
-            good += label
-            if good >= PRECISION * k and (k == len(ranked) or ranked[k][0] < score):
-                thresholds[kind] = score
-        thresholds[kind] = max(thresholds[kind], 1.0)  # never less sure than odds of e to one
-    _FITTED[(n,)] = Forest(bias, trees, thresholds)
-    return _FITTED[(n,)]
-
-
-_CANDIDATE = "array<struct<kind:int,start:int,end:int,value:string>>"
-_ADDED = "array<struct<kind:int,start:int,end:int>>"
-
-
-def _kinded(number: int):
-    return lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+def _featured(spark: SparkSession, rows: list[tuple]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(kinds, features, labels) of generated rows; their number is a parameter."""
+    made = spark.createDataFrame([(k, ALL_KINDS.index(r[0]), *r) for k, r in enumerate(rows)], "k long, number int, kind string, before string, value string, after string, label int")
+    made = made.select("k", "kind", "label", features(F.col("number"), F.col("value"), F.col("before"), F.substring("after", 1, 1)).alias("f"))
+    data = sorted((r["k"], r["kind"], r["label"], tuple(r["f"])) for r in made.collect())
+    return [r[1] for r in data], np.array([r[3] for r in data]), np.array([r[2] for r in data], dtype=float)
 
 
-def find_pii(docs: DataFrame, text: str = "text", prefix: str = "__pii_") -> DataFrame:
-    """``docs`` with ``{prefix}{kind}`` base spans and ``{prefix}added``, the spans (kind number, start, end) that the trees add."""
-    forest = fit(docs.sparkSession)
-    held = with_base(docs, text, prefix)
-    t = F.col(f"{prefix}t")
-    for kind in KINDS:
-        held = held.withColumn(f"{prefix}more_{kind}", F.when(t.rlike(GENERATOR_NEEDS[kind]), matches(t, GENERATORS[kind])))
-    proposed = [F.when(F.size(f"{prefix}more_{k}") > 1, F.transform(_located(F.col(f"{prefix}more_{k}")), _kinded(i))).otherwise(F.array().cast(_CANDIDATE)) for i, k in enumerate(KINDS)]
-    held = held.withColumn(f"{prefix}more", F.concat(*proposed)).withColumn(f"{prefix}all", F.concat(*[F.col(f"{prefix}{k}") for k in KINDS]))
+def fit(spark: SparkSession, n: int = TRAINING_ROWS) -> Forest:
+    """Fit on ``n`` generated rows and calibrate thresholds on as many held-out ones; once per process."""
+    if n not in _FITTED:
+        kinds, x, y = _featured(spark, training_rows(n) + training_rows(n, held_out=True))
+        bias, trees = boost(x[:n], y[:n])
+        scores = bias + np.array([sum(leaf(t, row) for t in trees) for row in x])
+        thresholds = {}
+        for kind in ALL_KINDS:
+            ranked = sorted(((scores[i], y[i]) for i in range(n, len(y)) if kinds[i] == kind), reverse=True)
+            thresholds[kind], good = 1e9, 0
+            for k, (score, label) in enumerate(ranked, 1):
+                good += label
+                if good >= PRECISION * k and (k == len(ranked) or ranked[k][0] < score):
+                    # between this score and the next, so that rounding decides nothing
+                    thresholds[kind] = float((score + ranked[k][0]) / 2 if k < len(ranked) else score)
+        _FITTED[n] = Forest(bias, trees, thresholds)
+    return _FITTED[n]
+
+
+_SPAN = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _meets(spans: str) -> str:
+    """SQL: whether ``c`` overlaps one of ``spans``, which are in order and apart: binary search for the last that starts before its end."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(28)))
+    at = f"aggregate(array({steps}), 0, (n, k) -> CASE WHEN n + k <= size({spans}) AND get({spans}, n + k - 1).start < c.end THEN n + k ELSE n END)"
+    return f"(size({spans}) > 0 AND coalesce(get({spans}, {at} - 1).end > c.start, false))"
+
+
+def candidates(text: str, prefix: str) -> Column:
+    """array<struct<kind, start, end, value, before, after>>: what the generators propose outside of base spans."""
+    none = "cast(array() AS array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>)"
+    held = _held(text)
+    proposed = [f"CASE WHEN {held} RLIKE r'{GENERATOR_NEEDS[k]}' THEN {matches(held, GENERATORS[k], i)} ELSE {none} END" for i, k in enumerate(ALL_KINDS)]
+    base = ", ".join(f"'{k}', `{prefix}{k}`" for k in KINDS)
+    taken = " OR ".join(_meets(f"b.{k}") for k in KINDS)
+    return F.expr(f"transform(array(named_struct({base})), b -> filter(concat({', '.join(proposed)}), c -> NOT ({taken})))[0]")
+
+
+def selected(found: Column, forest: Forest) -> Column:
+    """array<struct<kind, start, end>>, by kind and start: the candidates that the trees select."""
+    cuts = F.lit([float(forest.thresholds[k]) for k in ALL_KINDS])
 
-    def free(s):
-        return ~F.exists(f"{prefix}all", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def judged(s):
+        f = features(s["kind"], s["value"], s["before"], s["after"])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (F.get(cuts, s["kind"]) - let(f, forest.expression)).alias("rank"))
 
-    def scored(s):
-        before = F.substring(t, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-        return F.struct(features(s["kind"], s["value"], before, F.substring(t, s["end"] + 1, F.lit(1))).alias("f"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    good = F.array_sort(F.filter(F.transform(found, judged), lambda s: s["rank"] <= 0))
 
-    def judged(s):
-        return F.struct((forest.expression(s["f"]) - F.get(F.lit([float(forest.thresholds[k]) for k in KINDS]), s["kind"])).alias("margin"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    def surest(spans):
+        """Spans that no surer one overlaps; in order of start, overlapping ones are near each other."""
+        near = lambda k: F.slice(spans, F.greatest(k - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
+        rank = lambda s: F.struct(s["rank"], s["kind"], s["start"])
+        return F.filter(spans, lambda s, k: ~F.exists(near(k), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (rank(o) < rank(s))))
 
-    margins = F.transform(F.transform(F.filter(f"{prefix}more", free), scored), judged)
-    # surest first; a span that overlaps a surer one is left out
-    best = F.array_sort(F.transform(F.filter(margins, lambda s: s["margin"] >= 0), lambda s: F.struct((-s["margin"]).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    kept = let(good, lambda spans: F.when(F.size(spans) > 1, surest(spans)).otherwise(spans))
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
-    def pick(taken, s):
-        clash = F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
 
-    added = F.when(F.size(f"{prefix}more") > 0, F.aggregate(best, F.array().cast(_ADDED), pick)).otherwise(F.array().cast(_ADDED))
-    return held.withColumn(f"{prefix}added", added)
+def find_pii(docs: DataFrame, text: str = "text", prefix: str = "__pii_") -> DataFrame:
+    """``docs`` with ``{prefix}{kind}`` base spans and ``{prefix}added``, the spans (kind number, start, end) that the trees add."""
+    forest = fit(docs.sparkSession)
+    base = with_base(docs, text, prefix)
+    return base.withColumn(f"{prefix}added", let(candidates(text, prefix), lambda found: F.when(F.size(found) > 0, selected(found, forest)).otherwise(F.array().cast(_SPAN))))
 
 
 def _base_spans(prefix: str) -> Column:
@@ -357,31 +429,48 @@ def _base_spans(prefix: str) -> Column:
 
 def _listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def replaced(text: Column, spans: Column, reach: Column) -> Column:
+    """``text`` with array<struct<start, end, tag>>, in order of start, replaced by tags; overlapping spans become the first's.
+
+    ``reach`` is the greatest end so far, span by span.
+    """
+
+    def cut(blocks, start, end):
+        """Characters [start, end) of the text, from the blocks that hold them."""
+        first = F.floor(start / CUT).cast("int")
+        n = F.floor((end - 1) / CUT).cast("int") - first + 1
+        return F.when(end <= start, F.lit("")).otherwise(F.substring(F.concat_ws("", F.slice(blocks, first + 1, n)), start % CUT + 1, end - start))
+
+    def made(blocks, reach):
+        past = lambda k: F.coalesce(F.get(reach, k - 1), F.lit(0))
+        numbered = F.transform(spans, lambda s, k: F.struct(s["start"].alias("start"), past(k).alias("past"), s["tag"].alias("tag")))
+        heads = F.filter(numbered, lambda s: s["start"] >= s["past"])
+        parts = F.transform(heads, lambda s: F.concat(cut(blocks, s["past"], s["start"]), s["tag"]))
+        return F.concat(F.concat_ws("", parts), cut(blocks, F.element_at(reach, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return let(blocks, lambda b: made(b, reach))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Pipeline stage: ``docs`` with every span replaced by ``[KIND]``; overlapping spans become the first's placeholder."""
+    """Pipeline stage: ``docs`` with every span replaced by ``[KIND]``; overlapping spans become the first's placeholder.
+
+    Every row comes back, in its own columns; null texts stay null, empty ones empty; repeated rows are
+    redacted each; an empty table gives an empty result.
+    """
     p = "__pii_"
     found = find_pii(docs, text, p)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     tagged = F.transform(F.concat(_base_spans(p), F.col(f"{p}added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("tag")))
     found = found.withColumn(f"{p}all", F.array_sort(tagged))
-    t = F.col(f"{p}t")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, span):
-        gap = F.substring(t, s["at"] + 1, span["start"] - s["at"])
-        fresh = F.struct(span["end"].alias("at"), F.concat(s["out"], F.array(gap, span["tag"])).alias("out"))
-        inside = F.struct(F.greatest(s["at"], span["end"]).alias("at"), s["out"].alias("out"))
-        return F.when(span["start"] >= s["at"], fresh).otherwise(inside)
-
-    def finish(s):
-        return F.concat(F.concat_ws("", s["out"]), F.substring(t, s["at"] + 1, F.length(t)))
-
-    clean = F.when(F.size(f"{p}all") == 0, F.col(f"`{text}`")).otherwise(F.aggregate(f"{p}all", zero, step, finish))
-    return found.withColumn(text, clean).select(*[f"`{c}`" for c in docs.columns])
+    reach = F.expr(running(f"transform({p}all, s -> s.end)", "greatest({a}, {b})"))
+    spans = F.struct(F.col(f"{p}all").alias("spans"), reach.alias("reach"))
+    clean = let(spans, lambda s: replaced(F.col(f"`{text}`"), s["spans"], s["reach"]))
+    return found.withColumn(text, F.when(F.size(f"{p}all") == 0, F.col(f"`{text}`")).otherwise(clean)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
