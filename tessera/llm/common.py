@@ -2,7 +2,8 @@
 
 * :func:`table` reads one of the input tables through Spark's own reader.
 * :func:`materialize` writes an intermediate to the folder that ``spark.checkpoint.dir``
-  names and reads it back: lineage is cut on storage that outlives executors.
+  names and reads it back: lineage is cut on storage that outlives executors.  :func:`discard`
+  deletes one that nothing reads any more, :func:`clean` all that an application has written.
 * :func:`map_rows` runs a per-row Python kernel over Arrow batches, keeping only the
   columns that the kernel needs.
 * :class:`WordCache` is the bounded two-generation memo that makes per-word models cheap.
@@ -25,7 +26,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an output Arrow batch of :func:`map_rows`, at most; bytes of text in one, about.
 OUT_ROWS = 1024
 
-_OWN_DIRS: dict[int, str] = {}
+_OWN_DIRS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _OWN_DIRS:
-        _OWN_DIRS[key] = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-    return _OWN_DIRS[key]
+    """This application's folder in the one named by ``spark.checkpoint.dir``.
+
+    Where that is unset: in the warehouse, which all machines of a cluster share; a local master, which
+    is one machine, gets a temporary folder.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and (context.master == "local" or context.master.startswith("local[")):
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        named = _OWN_DIRS[context.applicationId]
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tessera-{context.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,21 +54,45 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.__dict__["_tessera_path"] = path
+    return written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these; nothing that is still to run may read them."""
+    for df in frames:
+        if path := df.__dict__.get("_tessera_path"):
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything that this application has materialised, once its results have been read or written."""
+    _delete(spark, shared_dir(spark))
 
 
 class WordCache(dict):
     """``cache[key]`` computes missing values with ``make`` and holds at most 2 x ``cap`` of them.
 
-    A full young generation becomes the old one, so that frequent keys survive and rare ones go:
-    memory is bounded whatever the vocabulary, and the result never depends on what was kept.
+    A full young generation becomes the old one, so that frequent keys survive and rare ones go.
+    Keys over ``LONGEST_KEY`` characters are computed each time: memory is bounded in bytes, whatever
+    the vocabulary, and the result never depends on what was kept.
     """
 
+    LONGEST_KEY = 64
+
     def __init__(self, make: Callable[[Any], Any], cap: int = 100_000):
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -2,20 +2,22 @@
 
 A document's fingerprint sums the bits of the XXH64 hashes of its word shingles.  Two fingerprints
 that differ in at most ``MAX_BITS`` = 2 bits differ in at most 2 of their 8 bytes, so they share
-at least 6 *positional bytes*.  The index posts each distinct fingerprint under conjunctions of
-positional bytes; a candidate pair's shared positional bytes are tallied, pairs under the
-guaranteed minimum of 6 are dropped and the rest verified bit by bit.
+at least 6 *positional bytes*.
 
-Posting single bytes would make lists of a 256th of the corpus, whose pairs grow with its square.
-The 8 positions are dealt into 4 couples, of which at least 2 agree in a linked pair: the postings
-are the 6 conjunctions of two couples (32 bits), so a list is a 2^32nd of the corpus where
-fingerprints are spread evenly, and every linked pair meets in at least one list.
+Posting lists of single bytes would hold a 256th of the corpus each, and their pairs grow with its
+square.  The index therefore posts each distinct fingerprint under conjunctions of four positional
+bytes (32 bits): the 14 blocks of four of the 8 positions whose numbers have exclusive or zero.  Any
+three positions lie in exactly one of these blocks, so two fingerprints that share 6, 7 or 8
+positional bytes meet in 3, 7 or 14 lists, and those that share 5 or fewer in one at most.  The
+*tally* counts the lists in which a pair meets: ``MIN_LISTS`` = 3 or more is the guaranteed minimum of
+6 shared bytes, no more and no less.  Pairs under it are dropped, the rest verified bit by bit.
 
 Crowded lists (over ``LIST_CAP`` distinct fingerprints: families of close variants) are not paired.
 Two words within 2 bits have a word in common within 1 bit of both, so each member is posted under
 its own value and its 32 one-bit variants in the bits that the list leaves open: members that meet
 are within 2 bits, members within 2 bits meet, and at most 33 members can meet in a posting.
-That is exact and linear, and serves only what the cap excludes.
+That is exact and linear, and serves only what the cap excludes: a linked pair meets in a crowded
+list, where this finds it, or all its lists are short, and the tally is whole.
 
 Scale: equal texts collapse first (``groupBy(fingerprint)`` combines map-side), so a group of
 copies is one row whatever its size; fingerprints and postings are 8-16 byte rows; components come
@@ -36,14 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, struct, table, with_key
+from .common import discard, map_rows, materialize, struct, table, with_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 LIST_CAP = 64
-#: Byte positions by couple, and the conjunctions of two couples that are posted.
-COUPLES = ((0, 1), (2, 3), (4, 5), (6, 7))
-POSTED = tuple(combinations(range(len(COUPLES)), 2))
-MIN_SHARED = 8 - MAX_BITS
+#: The blocks of four byte positions that are posted, and in how many of them a linked pair agrees at least.
+BLOCKS = tuple(c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
+MIN_LISTS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -80,35 +81,33 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -
     return map_rows(docs, [key, "text"], kernel, with_key(docs, key, "fp long"))
 
 
-def _byte(value: Column, position: int) -> Column:
-    return F.shiftrightunsigned(value, 8 * position).bitwiseAND(F.lit(255))
-
-
-def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: positions at which two fingerprints have the same byte."""
-    differing = a.bitwiseXOR(b)
-    return sum((F.when(_byte(differing, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-
-
-def _mask(conjunction: tuple[int, int]) -> int:
-    mask = sum(255 << (8 * p) for couple in conjunction for p in COUPLES[couple])
+def _mask(block: tuple[int, ...]) -> int:
+    mask = sum(255 << (8 * p) for p in block)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: fingerprints of ``distinct(fp)`` tied so that components equal those of all links."""
-    postings = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for k, c in enumerate(POSTED)])
+def index(distinct: DataFrame) -> DataFrame:
+    """(slot, bytes, fp, n): postings of ``distinct(fp)`` under the blocks, in lists of n members, two or more."""
+    postings = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for k, c in enumerate(BLOCKS)])
     posted = distinct.select("fp", F.explode(postings).alias("p")).select("fp", "p.slot", "p.bytes")
     lengths = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = materialize(posted.join(lengths, ["slot", "bytes"]), "simhash-lists")
+    return posted.join(lengths, ["slot", "bytes"])
 
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """(a, b, lists), a < b: the pairs of the short lists by the number of lists in which they meet, the minimum at least."""
     short = lists.where(F.col("n") <= LIST_CAP).groupBy("slot", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # <= LIST_CAP values
     heads = short.select("fps", F.posexplode("fps").alias("i", "a"))
     pairs = heads.select("a", F.explode(F.slice("fps", F.col("i") + 2, LIST_CAP)).alias("b"))
-    pairs = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= MIN_SHARED)
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= MIN_LISTS)
+
 
-    open_bits = F.expr("CASE slot " + " ".join(f"WHEN {k} THEN {~_mask(c)}L" for k, c in enumerate(POSTED)) + " END")
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: fingerprints of ``distinct(fp)`` tied so that components equal those of all links."""
+    lists = materialize(index(distinct), "simhash-lists")
+    pairs = tallied(lists).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+
+    open_bits = F.expr("CASE slot " + " ".join(f"WHEN {k} THEN {~_mask(c)}L" for k, c in enumerate(BLOCKS)) + " END")
     flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda bit: bit.bitwiseAND(open_bits) != 0)
     near = F.concat(F.array("fp"), F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit)))
     met = lists.where(F.col("n") > LIST_CAP).select("slot", "bytes", "fp", F.explode(near).alias("at"))
@@ -118,6 +117,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def named_by_smallest(members: DataFrame, salts: int = 16) -> DataFrame:
+    """``members(..., first, root)`` with ``component_id``, the smallest ``first`` of all with that root.
+
+    The few roots of several members are joined salted, so that a component of any size is dealt over
+    ``salts`` tasks; all others have their own.
+    """
+    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64(*members.columns), F.lit(salts)))
+    spread = smallest.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(spread, ["root", "_salt"], "left").withColumn("component_id", F.coalesce("component_id", "first")).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): connected components of ``edges(a, b)``, the root being the smallest node.
 
@@ -133,10 +144,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct()
         after = materialize(small, f"components-{turn}")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
+        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        discard(edges)
         edges = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if same:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
@@ -148,8 +161,7 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     else:
         roots = components(edges)
         labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-        tied = labelled.join(smallest, "root").select("fp", "component_id")
+        tied = named_by_smallest(labelled).select("fp", "component_id")
     return fps.join(tied, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -283,10 +295,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, tallied: bool
         return one
 
     sets = map_rows(source, ["text"], kernel, struct("id long, grams array<long>"))
-    grams = materialize(sets.dropDuplicates(["id"]), "dedup-grams")
+    # a text comes once, but for rows that repeat its doc_id too
+    grams = materialize(sets, "dedup-grams")
+    twice = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if not twice.isEmpty():
+        again = grams.join(twice, "id", "left_semi").dropDuplicates(["id"])
+        whole = materialize(grams.join(twice, "id", "left_anti").unionByName(again), "dedup-grams")
+        discard(grams)
+        grams = whole
     both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(common * (DENOMINATOR + NUMERATOR) >= (F.size("ga") + F.size("gb")) * NUMERATOR).select("a", "b")
+    found = materialize(both.where(common * (DENOMINATOR + NUMERATOR) >= (F.size("ga") + F.size("gb")) * NUMERATOR).select("a", "b"), "dedup-linked")
+    discard(pairs, wanted, grams)
+    return found
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -301,33 +322,38 @@ def _groups(docs: DataFrame) -> DataFrame:
     tries the most copied text that it meets in any list.  Where members of a list are still apart,
     every pair of different components is then verified: what is left out is tied already.
     """
-    rows = materialize(_digests(docs), "dedup-digests")
+    digests = materialize(_digests(docs), "dedup-digests")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
-    texts = rows.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "prefix")])
+    texts = digests.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "prefix")])
     texts = materialize(texts.select("id", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "copies", "size", *SKETCH, "prefix"), "dedup-texts")
+    rows = materialize(digests.select("doc_id", "raw", "text_hash"), "dedup-rows")
+    discard(digests)
     lists = materialize(_lists(texts), "dedup-lists")
+    wide, texts = texts, materialize(texts.drop("prefix"), "dedup-texts")
+    discard(wide)
     centre = lists.groupBy("list").agg(F.max_by(F.struct("id", "size", "at", "copies"), F.struct("copies", -F.col("id"))).alias("c"))
     best = lists.select("list", F.struct("id", "size", "at").alias("p")).join(centre, "list").where("p.id <> c.id").where(_within_places("p.", "c."))
     best = best.groupBy("p.id").agg(F.max_by("c.id", F.struct("c.copies", -F.col("c.id"))).alias("centre"))
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    tied = materialize(_verified(spokes, docs, texts), "dedup-spokes")
+    tied = _verified(spokes, docs, texts)
     roots = _roots(texts, tied)
     # the pairs of different components: one side at least is outside the list's largest component
     apart = lists.join(roots, "id")
     counted = apart.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
     major = counted.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("list", "major")
     apart = materialize(apart.join(major, "list").join(texts.select("id", *SKETCH), "id"), "dedup-apart")
+    discard(lists)
     member = F.struct("id", "root", "size", "at", *SKETCH)
     minor = apart.where("root <> major").select("list", "major", member.alias("p"))
     met = minor.join(apart.select("list", member.alias("q")), "list").where("p.root <> q.root AND (q.root = major OR p.id < q.id)")
     met = met.where(_within_places("p.", "q.") & _plausible("p.", "q."))
     rest = met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     rest = _verified(rest, docs, texts, tallied=True)
-    roots = _roots(texts, materialize(tied.unionByName(rest), "dedup-links"))
+    roots = _roots(texts, tied.unionByName(rest))
     grouped = roots.join(texts.select("id", "first"), "id")
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "root").select(F.col("id").alias("text_hash"), "root", "component_id")
-    return rows.select("doc_id", "raw", "text_hash").join(named, "text_hash")
+    named = materialize(named_by_smallest(grouped).select(F.col("id").alias("text_hash"), "root", "component_id"), "dedup-named")
+    discard(apart, tied, rest, texts)
+    return rows.join(named, "text_hash")
 
 
 def _roots(texts: DataFrame, edges: DataFrame) -> DataFrame:

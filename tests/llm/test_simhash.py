@@ -55,6 +55,28 @@ def test_families_of_close_fingerprints(spark, monkeypatch, cap):
     assert got == brute_components(prints, lambda x, y: (x ^ y).bit_count() <= 2)
 
 
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_tally_over_posting_lists_is_the_filter(spark):
+    """Pairs that share 4 or 5 positional bytes meet in lists, and only the tally drops them; 6 bytes are 3 lists, 7 are 7."""
+    rng = random.Random(8)
+    pairs = []
+    for wrong in (1, 2, 3, 4) * 30:
+        x, y = rng.getrandbits(64), 0
+        y = x
+        for position in rng.sample(range(8), wrong):
+            y ^= rng.randrange(1, 256) << (8 * position)
+        pairs.append((wrong, *sorted((signed(x), signed(y)))))
+    distinct = spark.createDataFrame([(v,) for _, a, b in pairs for v in (a, b)], "fp long")
+    lists = simhash.index(distinct)
+    met = {(r["a"], r["b"]) for r in lists.alias("l").join(lists.selectExpr("slot", "bytes", "fp AS b"), ["slot", "bytes"]).where("fp < b").selectExpr("fp AS a", "b").distinct().collect()}
+    assert any(wrong in (3, 4) and (a, b) in met for wrong, a, b in pairs)
+    got = {(r["a"], r["b"]): r["lists"] for r in simhash.tallied(lists).collect()}
+    assert got == {(a, b): {1: 7, 2: 3}[wrong] for wrong, a, b in pairs if wrong <= 2}
+
+
 def shingles(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
