@@ -35,7 +35,7 @@ def test_ratio_regions_without_markup():
     page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><a href=3>About</a></div><p>{long} one</p><p>Short.</p><p>{long} two</p><div><a href=4>More</a></div></body>"
     assert html_text.extract(page) == f"{long} one Short. {long} two"
     assert html_text.smooth([0, 0, 9, 0, 0])[2] < 9
-    assert html_text.content_region([]) == (0, 0)
+    assert html_text.content_region([]) == (0, 0, [])
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<p></p>", "<script>x</script>", "<!-- only"])
@@ -57,11 +57,58 @@ def test_comments_stand_where_the_parser_says(page, text):
     assert html_text.extract(page) == text
 
 
+LONG = "This paragraph of the article has many words in it, as paragraphs of articles do, and then some more. " * 3
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><p>One. {LONG}</p><section id='discussion'><h2>Discussion</h2><p>Two. {LONG}</p></section></article>",
+        f"<article><p>One. {LONG}</p><div class='related-work'><h2>Discussion</h2><p>Two. {LONG}</p></div></article>",
+        f"<div><p>One. {LONG}</p><section class='reviews legal tags'><h2>Discussion</h2><p>Two. {LONG}</p></section></div>",
+    ],
+)
+def test_doubtful_names_drop_no_article_sections(body):
+    assert html_text.extract(PAGE % body) == f"One. {LONG.strip()} Discussion Two. {LONG.strip()}"
+
+
+def test_doubtful_names_go_where_ratios_say_so():
+    related = "<div class='related'>" + "".join(f"<a href=/{i}>Another story of ours, number {i}</a> " for i in range(30)) + "</div>"
+    body = f"<article><p>{LONG}</p><div class='notice'>Terms apply.</div>{related}</article>"
+    assert html_text.extract(PAGE % body) == LONG.strip()
+
+
+def test_ratios_choose_between_article_and_the_rest():
+    """An article element with next to nothing in it is not the content of a page."""
+    paragraphs = "".join(f"<p>{k} {LONG}</p>" for k in range(6))
+    page = f"<body><article><p>Hi.</p></article><nav>Menu</nav><div>{paragraphs}</div></body>"
+    assert html_text.extract(page) == " ".join(f"{k} {LONG.strip()}" for k in range(6))
+
+
+def brute_article(page):
+    article = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    blocks = re.split(r"</?(?:p|h1|br)>", article[1]) if article else []
+    return " ".join(b for b in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in blocks) if b)
+
+
 def test_pages_table(spark, sf_dir):
     """The generated pages have one article: its blocks, entities decoded."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for row in html_text.op3_html(spark, sf_dir).collect():
-        article = re.search(r"<article>(.*?)</article>", pages[row["page_id"]] or "", re.S)
-        blocks = re.split(r"</?(?:p|h1|br)>", article[1]) if article else []
-        want = " ".join(b for b in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in blocks) if b)
+        want = brute_article(pages[row["page_id"]])
         assert row["text"] == want and row["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize("markup", ["<article>", "<div>"])
+def test_clusters_choose_on_every_page(spark, monkeypatch, markup):
+    """At sf0.01 the region comes from ratios on all pages, whether they declare their article or not."""
+    regions = []
+    find = html_text.content_region
+    monkeypatch.setattr(html_text, "content_region", lambda ratios: regions.append(find(ratios)) or regions[-1])
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = 0
+    for page in pages:
+        plain = page.replace("<article>", markup).replace("</article>", markup.replace("<", "</"))
+        right += html_text.extract(plain) == brute_article(page)
+    assert len(regions) == len(pages)
+    assert right == len(pages)
