@@ -2,42 +2,54 @@
 
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence) and
 units (after a number) turn into typed placeholders, neighbouring placeholders of one type into one;
-all other words are lower-cased.  Windows of ``WINDOW`` template tokens of a document are hash-joined
-with those of the benchmark.  Within one alignment of document and item, slot values must be
-consistent: each benchmark value stands for one value of the document wherever it occurs.  Windows
-that disagree with the majority do not count.  A document leaks an item when the windows that count
-cover at least ``MIN_COVERAGE`` of the item's windows, so verbatim copies and questions asked again
-with other numbers or names are both found.
-
-Scale: the benchmark's windows are counted first.  Up to ``BROADCAST_WINDOWS`` of them are broadcast
+all other words are lower-cased.  A second, *case-blind* reading of the same text types numbers and
+units only, so that copies in lower case, upper case or title case are read as their originals are.
+Windows of ``WINDOW`` template tokens of a document are hash-joined with those of the benchmark,
+reading by reading.  Within one alignment of document and item, slot values must be consistent: each
+benchmark value stands for one value of the document wherever it occurs.  Windows that disagree with
+the majority do not count.  A document leaks an item when the windows of one reading that count cover
+at least ``MIN_COVERAGE`` of the item's windows, so verbatim copies, recased copies and questions
+asked again with other numbers or names are all found.
+
+Scale: the benchmark's windows are measured first.  Up to ``BROADCAST_BYTES`` of them are broadcast
 as the build side of a hash join that runs inside one map over the documents: no shuffle, however
-many documents hold the same passage.  Beyond that bound document windows are emitted as rows and
-shuffle-joined on the window's hash.  Either way a document's own work is linear in its length.
+many documents hold the same passage.  Beyond that bound a Bloom filter of fixed size (``BLOOM_BITS``)
+is broadcast instead: the documents' windows that pass it are shuffle-joined on the window's hash as
+narrow rows (digest of the text, hash, position), items that cannot reach the coverage are dropped,
+and the rest are judged on the texts by the very same code, so both ways give the same rows.
 
 Defined results: null or empty texts and items never match; items shorter than a window are one
 window of all their tokens; windows with fewer than ``MIN_LITERALS`` ordinary words are not
-indexed; rows that share a doc_id are judged row by row and reported once per item (the best);
-an empty benchmark or table gives an empty result; extra columns are ignored.
+indexed; items without an id are left out; whether a row leaks depends on its text alone, so rows
+that share or lack a doc_id are judged each by its own text (and reported once per doc_id and item,
+by the best); an empty benchmark or table gives an empty result; extra columns are ignored by the
+query and carried by the stage.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, kept, map_rows, small_batches, table, with_key
+from .common import WordCache, discard, kept, map_rows, materialize, small_batches, struct, table, with_key
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 5, 0.5
-#: Windows of a benchmark that may be broadcast (about 100 bytes each); more are shuffle-joined.
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes that the windows of a broadcast benchmark may take in a worker; larger benchmarks are shuffle-joined.
+BROADCAST_BYTES = 128_000_000
+#: Size of the Bloom filter of such a benchmark's windows, and the probes for a window.
+BLOOM_BITS, PROBES = 1 << 27, 3
+#: Distinguishes the windows of the case-blind reading.
+BLIND = 0x5DEECE66D1CE4E5B
 
 # Common units of measure, in their usual spellings.
 UNITS = frozenset(
@@ -76,20 +88,21 @@ def chunk_codes(chunk: str) -> tuple[int, ...]:
     return tuple(codes)
 
 
-def template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def template(codes: np.ndarray, blind: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(template hashes, index of each in ``codes``): placeholders typed and runs of one type merged."""
     plain = codes >> np.uint64(4) << np.uint64(4)
     flags = codes & np.uint64(15)
-    starts = np.ones(len(codes), dtype=bool)
-    starts[1:] = (flags[:-1] & np.uint64(ENDS)) > 0
     out = plain.copy()
-    out[((flags & np.uint64(CAPITAL)) > 0) & ~starts] = _NAME
-    after_number = np.zeros(len(codes), dtype=bool)
-    after_number[1:] = plain[:-1] == _NUMBER
-    out[after_number & ((flags & np.uint64(MEASURE)) > 0)] = _UNIT
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (out[1:] != out[:-1]) | ((out[1:] != np.uint64(_NUMBER)) & (out[1:] != np.uint64(_NAME)))
-    index = np.flatnonzero(keep)
+    if not blind:
+        inside = np.zeros(len(codes), dtype=bool)
+        inside[1:] = (flags[:-1] & np.uint64(ENDS)) == 0
+        out[((flags & np.uint64(CAPITAL)) > 0) & inside] = _NAME
+    measure = np.flatnonzero(flags & np.uint64(MEASURE))
+    measure = measure[measure > 0]
+    out[measure[plain[measure - 1] == _NUMBER]] = _UNIT
+    twice = np.flatnonzero(out[1:] == out[:-1]) + 1
+    twice = twice[(out[twice] == np.uint64(_NUMBER)) | (out[twice] == np.uint64(_NAME))]
+    index = np.delete(np.arange(len(codes)), twice)
     return out[index], index
 
 
@@ -105,9 +118,9 @@ def window_hashes(hashes: np.ndarray, width: int = WINDOW) -> np.ndarray:
 class Text:
     """One text's template, with slot values on demand."""
 
-    def __init__(self, text: str, codes: np.ndarray):
-        self.text = text
-        self.hashes, self.index = template(codes)
+    def __init__(self, text: str, codes: np.ndarray, blind: bool = False):
+        self.text, self.blind = text, blind
+        self.hashes, self.index = template(codes, blind)
         self.values: list[str] | None = None
 
     def slots(self, at: int, width: int) -> tuple[str, ...]:
@@ -119,20 +132,25 @@ class Text:
         kinds = self.hashes[at : at + width]
         return tuple(self.values[at + k] for k, h in enumerate(kinds.tolist()) if h in (_NUMBER, _NAME, _UNIT))
 
+    def windows(self, width: int) -> np.ndarray:
+        found = window_hashes(self.hashes, width)
+        return found ^ np.uint64(BLIND) if self.blind else found
+
 
 def index_items(items: list[tuple]) -> list[tuple]:
-    """(hash, width, item_id, position, slot values, windows of the item) of every indexed benchmark window."""
+    """(hash, width, item_id, position, slot values, windows of the item, reading) of every indexed benchmark window."""
     rows = []
     for item_id, text in items:
         codes = np.array([c for chunk in (text or "").split() for c in chunk_codes(chunk)], dtype=np.uint64)
-        made = Text(text or "", codes)
-        width = min(WINDOW, len(made.hashes))
-        if not width:
-            continue
-        literal = ~np.isin(made.hashes, np.array([_NUMBER, _NAME, _UNIT], dtype=np.uint64))
-        found = window_hashes(made.hashes, width).tolist()
-        chosen = [p for p in range(len(found)) if literal[p : p + width].sum() >= min(MIN_LITERALS, width)]
-        rows += [(found[p], width, item_id, p, made.slots(p, width), len(chosen)) for p in chosen]
+        for blind in (False, True):
+            made = Text(text or "", codes, blind)
+            width = min(WINDOW, len(made.hashes))
+            if not width:
+                continue
+            literal = ~np.isin(made.hashes, np.array([_NUMBER, _NAME, _UNIT], dtype=np.uint64))
+            found = made.windows(width).tolist()
+            chosen = [p for p in range(len(found)) if literal[p : p + width].sum() >= min(MIN_LITERALS, width)]
+            rows += [(found[p], width, item_id, p, made.slots(p, width), len(chosen), blind) for p in chosen]
     return rows
 
 
@@ -161,97 +179,165 @@ class Matcher:
 
     def __init__(self, rows: list[tuple]):
         self.by_hash: dict[int, list[tuple]] = defaultdict(list)
-        for h, width, item_id, position, slots, total in rows:
+        for h, width, item_id, position, slots, total, _ in rows:
             self.by_hash[h].append((width, item_id, position, slots, total))
-        self.sorted = {w: np.array(sorted({r[0] for r in rows if r[1] == w}), dtype=np.uint64) for w in {r[1] for r in rows}}
-        self.cache = WordCache(chunk_codes)
+        kinds = {(r[6], r[1]) for r in rows}
+        self.sorted = {(blind, w): np.array(sorted({r[0] for r in rows if (r[6], r[1]) == (blind, w)}), dtype=np.uint64) for blind, w in kinds}
+        self.cache = WordCache(chunk_codes, 250_000)
+
+    def codes(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())), dtype=np.uint64)
 
     def leaks(self, text: str | None) -> list[tuple]:
         """(item_id, n_windows, coverage, n_slots) of the items that one whole text leaks."""
-        codes = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())), dtype=np.uint64)
+        codes = self.codes(text)
         if not len(codes) or not self.sorted:
             return []
-        made = Text(text, codes)
-        matches: dict = defaultdict(list)
-        totals = {}
-        for width, known in self.sorted.items():
-            hashes = window_hashes(made.hashes, width)
-            where = np.searchsorted(known, hashes)
-            where[where == len(known)] = 0
-            for at in np.flatnonzero(known[where] == hashes).tolist() if len(hashes) else ():
-                for w, item_id, position, slots, total in self.by_hash[int(hashes[at])]:
-                    got = made.slots(at, width)
-                    if w == width and len(got) == len(slots):
-                        matches[item_id].append((at, position, slots, got))
-                        totals[item_id] = total
-        found = [(item_id, *judge(rows, totals[item_id])) for item_id, rows in matches.items()]
-        return [row for row in found if row[2] >= MIN_COVERAGE]
+        best: dict = {}
+        for blind in (False, True):
+            made = Text(text, codes, blind)
+            matches: dict = defaultdict(list)
+            totals = {}
+            for (reading, width), known in self.sorted.items():
+                if reading != blind:
+                    continue
+                hashes = made.windows(width)
+                where = np.searchsorted(known, hashes)
+                where[where == len(known)] = 0
+                for at in np.flatnonzero(known[where] == hashes).tolist():
+                    for w, item_id, position, slots, total in self.by_hash[int(hashes[at])]:
+                        got = made.slots(at, width)
+                        if w == width and len(got) == len(slots):
+                            matches[item_id].append((at, position, slots, got))
+                            totals[item_id] = total
+            for item_id, rows in matches.items():
+                n, coverage, slots = judge(rows, totals[item_id])
+                if coverage >= MIN_COVERAGE and (coverage, n, slots) > best.get(item_id, (0,)):
+                    best[item_id] = (coverage, n, slots)
+        return [(item_id, n, coverage, slots) for item_id, (coverage, n, slots) in best.items()]
+
+
+def _index(benchmark: DataFrame) -> DataFrame:
+    """The rows of :func:`index_items` for all items."""
+    schema = with_key(benchmark, "item_id", "hash long, width int, position long, slots array<string>, total long, blind boolean")
 
+    def kernel():
+        return lambda item_id, text: [(item_id, h - (1 << 64) if h >> 63 else h, w, p, list(s), n, blind) for h, w, _, p, s, n, blind in index_items([(item_id, text)])]
 
-def _matcher(spark: SparkSession, rows: list[tuple]):
-    name, shared = f"decontam:{uuid.uuid4().hex}", spark.sparkContext.broadcast(rows)
-    return lambda: kept(name, lambda: Matcher(shared.value))
+    return materialize(map_rows(benchmark.where("item_id IS NOT NULL"), ["item_id", "text"], kernel, schema), "decontam-index")
 
 
-def _index_rows(benchmark: DataFrame) -> DataFrame:
-    schema = with_key(benchmark, "item_id", "hash long, width int, position long, slots array<string>, total long")
+def _bounded(index: DataFrame, most: int) -> list[tuple] | None:
+    """The index's rows where a worker's copy takes no more than ``most`` bytes (Python's objects with their heads), else None."""
+    slots = F.aggregate("slots", F.lit(0), lambda s, x: s + 4 * F.length(x) + 60)
+    size = index.agg(F.sum(F.lit(500) + slots)).first()[0] or 0
+    if size > most:
+        return None
+    return [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"], r["blind"]) for r in index.collect()]
 
-    def kernel():
-        return lambda item_id, text: [(item_id, h - (1 << 64) if h >> 63 else h, w, p, list(s), n) for h, w, _, p, s, n in index_items([(item_id, text)])]
 
-    return map_rows(benchmark, ["item_id", "text"], kernel, schema)
+def _matcher(spark: SparkSession, rows: list[tuple]):
+    name, shared = f"decontam:{uuid.uuid4().hex}", spark.sparkContext.broadcast(rows)
+    return lambda: kept(name, lambda: Matcher(shared.value))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots) of every document and item that it leaks."""
-    index = _index_rows(benchmark.where("item_id IS NOT NULL"))
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = with_key(docs, "doc_id", f"item_id {kind}, n_windows long, coverage double, n_slots long")
-    if index.count() <= broadcast_windows:
-        rows = [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"]) for r in index.collect()]
+    index = _index(benchmark)
+    rows = _bounded(index, broadcast_bytes)
+    if rows is not None:
+        discard(index)
+        schema = _schema(docs, benchmark, "doc_id")
         matcher = _matcher(docs.sparkSession, rows)
         found = map_rows(docs, ["doc_id", "text"], lambda: lambda doc_id, text: [(doc_id, *leak) for leak in matcher().leaks(text)], schema)
     else:
-        found = _shuffled(docs, index, schema)
+        named = docs.select("doc_id", F.md5("text").alias("digest"))
+        found = named.join(_judged(docs, benchmark, index), "digest").drop("digest")
     best = F.max_by(F.struct("n_windows", "coverage", "n_slots"), F.struct("coverage", "n_windows", "n_slots"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _shuffled(docs: DataFrame, index: DataFrame, schema) -> DataFrame:
-    """The same join for benchmarks beyond the broadcast bound: windows of both sides meet on their hash."""
-    widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most WINDOW values
+def _schema(docs: DataFrame, benchmark: DataFrame, key: str):
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return with_key(docs, key, f"item_id {kind}, n_windows long, coverage double, n_slots long")
 
-    def kernel():
-        cache = WordCache(chunk_codes)
 
-        def one(doc_id, text):
-            codes = np.fromiter(chain.from_iterable(map(cache.__getitem__, (text or "").split())), dtype=np.uint64)
-            made, row_id = Text(text or "", codes), uuid.uuid5(uuid.NAMESPACE_OID, f"{doc_id} {text}").hex
-            for width in widths if len(codes) else ():
-                for at, h in enumerate(window_hashes(made.hashes, width).astype(np.int64).tolist()):
-                    yield doc_id, row_id, h, width, at, list(made.slots(at, width))
+def _probes(hashes: np.ndarray) -> list[np.ndarray]:
+    """The Bloom filter's bits of each hash."""
+    return [(hashes * np.uint64(_POWERS[k]) >> np.uint64(20)) % np.uint64(BLOOM_BITS) for k in range(PROBES)]
+
+
+def _bloom(index: DataFrame) -> np.ndarray:
+    """One byte array of ``BLOOM_BITS`` bits that every indexed window sets its probes in; one partition's at a time on the driver."""
+
+    def run(batches):
+        bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+        for batch in batches:
+            for at in _probes(batch.column(0).to_numpy().astype(np.uint64)):
+                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], type=pa.binary())], names=["bits"])
+
+    whole = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+    for row in index.select("hash").mapInArrow(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
+    return whole
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, index: DataFrame) -> DataFrame:
+    """(digest, item_id, n_windows, coverage, n_slots) for benchmarks beyond the broadcast bound, by digest of the text."""
+    spark = docs.sparkSession
+    kinds = sorted((r["blind"], r["width"]) for r in index.select("blind", "width").distinct().collect())  # 2 * WINDOW at most
+    shared, name = spark.sparkContext.broadcast(_bloom(index)), f"decontam-bloom:{uuid.uuid4().hex}"
+    texts = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("digest"), "text")
+
+    def kernel():
+        cache = kept(name, lambda: WordCache(chunk_codes, 250_000))
+
+        def one(digest, text):
+            codes = np.fromiter(chain.from_iterable(map(cache.__getitem__, text.split())), dtype=np.uint64)
+            for blind, width in kinds if len(codes) else ():
+                hashes = np.unique(Text(text, codes, blind).windows(width))
+                passed = np.ones(len(hashes), dtype=bool)
+                for at in _probes(hashes):
+                    passed &= (shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                for h in hashes[passed].astype(np.int64).tolist():
+                    yield digest, h, width, blind
 
         return one
 
-    windows = map_rows(docs, ["doc_id", "text"], kernel, with_key(docs, "doc_id", "row_id string, hash long, width int, at long, got array<string>"))
-    met = windows.join(index, ["hash", "width"]).where(F.size("got") == F.size("slots")).dropDuplicates(["doc_id", "row_id", "item_id", "at", "position"])
+    windows = map_rows(texts, ["digest", "text"], kernel, struct("digest string, hash long, width int, blind boolean"))
+    # a window is common where a passage is: its rows are dealt over several tasks, each with the few items that have it
+    salts = 16
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(salts)))
+    spread = index.select("hash", "width", "blind", "item_id", "position", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    met = dealt.join(spread, ["hash", "width", "blind", "salt"]).groupBy("digest", "item_id", "blind").agg(F.count_distinct("position").alias("n"), F.first("total").alias("total"))
+    able = met.where(F.col("n") >= MIN_COVERAGE * F.col("total")).select("digest", "item_id").distinct()
+    # a text's candidate items are no more than its windows; they go to one row that has the text
+    items = able.join(benchmark.select("item_id", F.col("text").alias("item")), "item_id").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("item_id", "item"))).alias("items"))
+    rows = texts.join(items, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("items").alias("items"))
+    rows = rows.select("digest", "text", F.col("items.item_id").alias("ids"), F.col("items.item").alias("item_texts"))
+
+    def judge_row():
+        def one(digest, text, ids, item_texts):
+            return [(digest, *leak) for leak in Matcher(index_items(list(zip(ids, item_texts)))).leaks(text)]
+
+        return one
 
-    def verdict(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.at, r.position, tuple(r.slots), tuple(r.got)) for r in group.itertuples()]
-        n, coverage, slots = judge(rows, int(group["total"].iloc[0]))
-        return pd.DataFrame([(group["doc_id"].iloc[0], group["item_id"].iloc[0], n, coverage, slots)] if coverage >= MIN_COVERAGE else [], columns=schema.names)
+    return map_rows(rows, ["digest", "text", "ids", "item_texts"], judge_row, _schema(texts, benchmark, "digest"))
 
-    # a group is one document's windows that match one item: bounded by the document's length
-    return met.groupBy("doc_id", "row_id", "item_id").applyInPandas(verdict, schema)
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pipeline stage: the rows of ``docs`` whose text leaks no item, with the same columns, on either side of the bound.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` that leak no item, with the same columns."""
-    index = _index_rows(benchmark.where("item_id IS NOT NULL"))
-    if index.count() > BROADCAST_WINDOWS:
-        leaking = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-        return docs.join(leaking, docs.doc_id.eqNullSafe(F.col("__leak")), "left_anti")
-    rows = [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"]) for r in index.collect()]
+    Rows without a text stay; rows that share or lack a doc_id, and repeated rows, go or stay each by
+    its own text; an empty benchmark keeps all; an empty table gives an empty result.
+    """
+    index = _index(benchmark)
+    rows = _bounded(index, broadcast_bytes)
+    if rows is None:
+        leaking = _judged(docs, benchmark, index).select(F.col("digest").alias("__leak")).distinct()
+        return docs.join(leaking, F.md5(docs["text"]) == F.col("__leak"), "left_anti")
+    discard(index)
     matcher = _matcher(docs.sparkSession, rows)
     small_batches(docs.sparkSession)
 
