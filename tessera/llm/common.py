@@ -88,18 +88,19 @@ class WordCache(dict):
 
     def __init__(self, make: Callable[[Any], Any], cap: int = 100_000):
         super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
+        self.make, self.cap, self.room, self.old = make, cap, cap, {}
 
     def __missing__(self, key):
         if len(key) > self.LONGEST_KEY:
             return self.make(key)
-        value = self.old.get(key)
+        value = self.old.get(key) if self.old else None
         if value is None:
             value = self.make(key)
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
         self[key] = value
+        self.room -= 1
+        if not self.room:
+            self.old, self.room = dict(self), self.cap
+            self.clear()
         return value
 
 

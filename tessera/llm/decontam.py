@@ -56,36 +56,59 @@ UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw v a k c f j kj cal kcal percent pct usd eur gbp dollar dollars euro euros cent cents kmh mph kph km/h m/s".split()
 )
 _TOKENS = re.compile(r"\d[\d.,:/]*\d|\d|[^\W\d_]+")
-_NUMBER, _NAME, _UNIT = (xxhash.xxh64_intdigest(x, 1) >> 4 << 4 for x in ("<number>", "<name>", "<unit>"))
-#: Low bits of a token code.
-CAPITAL, ENDS, MEASURE = 1, 2, 4
+_NUMBER, _NAME, _UNIT, _OTHER = (xxhash.xxh64_intdigest(x, 1) >> 4 << 4 for x in ("<number>", "<name>", "<unit>", "<other>"))
+#: Low bits of a token code; a token without KNOWN is no literal word of the benchmark.
+CAPITAL, ENDS, MEASURE, KNOWN = 1, 2, 4, 8
 _WORD_ENDS = frozenset("abcdefghijklmnopqrstuvwxyz,;")
-_POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)]
+_STOPS = (".", "!", "?", ":")
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, dtype=np.uint64)] * 2
 
 
 #: What is taken off a chunk before it is looked at as one word.
 _EDGES = "\"'()[]{}.,;:!?#$%&*<>|-/\\"
 
 
-def _code(token: str) -> int:
-    """A word's 60-bit hash and its flags."""
-    lower = token.lower()
-    code = xxhash.xxh64_intdigest(lower, 1) >> 4 << 4
-    if lower != token and token[0].isupper() and (len(token) == 1 or not token.isupper()):
-        code |= CAPITAL
-    return code | MEASURE if lower in UNITS else code
+def _coder(words: dict[str, int] | None):
+    """chunk -> codes of its tokens: a word's 60-bit hash and its flags.
 
+    With ``words``, the codes of the benchmark's literal words and of units, all other words have one hash.
+    """
+    digest, units = xxhash.xxh64_intdigest, UNITS
+
+    def hashed(lower: str, _: int) -> int:
+        code = digest(lower, 1) >> 4 << 4 | KNOWN
+        return code | MEASURE if lower in units else code
+
+    code_of = words.get if words is not None else hashed
+
+    def code(token: str) -> int:
+        lower = token.lower()
+        if lower != token and token[0].isupper() and (len(token) == 1 or not token.isupper()):
+            return code_of(lower, _OTHER) | CAPITAL
+        return code_of(lower, _OTHER)
+
+    def codes(chunk: str) -> tuple[int, ...]:
+        word = chunk.strip(_EDGES)
+        if word.isalpha():
+            if chunk[-1] in _WORD_ENDS or chunk.rstrip("\"')]}\u00bb\u201d")[-1:] not in _STOPS:
+                return (code(word),)
+            return (code(word) | ENDS,)
+        found = [_NUMBER | KNOWN if token[0].isdigit() else code(token) for token in _TOKENS.findall(chunk)]
+        if found and chunk[-1] not in _WORD_ENDS and chunk.rstrip("\"')]}\u00bb\u201d")[-1:] in _STOPS:
+            found[-1] |= ENDS
+        return tuple(found)
+
+    return codes
 
-def chunk_codes(chunk: str) -> tuple[int, ...]:
-    """Codes of the tokens of a white-space separated chunk."""
-    word = chunk.strip(_EDGES)
-    if word.isalpha():
-        codes = [_code(word)]
-    else:
-        codes = [_NUMBER if token[0].isdigit() else _code(token) for token in _TOKENS.findall(chunk)]
-    if codes and chunk[-1] not in _WORD_ENDS and chunk.rstrip("\"')]}\u00bb\u201d")[-1:] in (".", "!", "?", ":"):
-        codes[-1] |= ENDS
-    return tuple(codes)
+
+chunk_codes = _coder(None)
+
+
+def _known(words) -> dict[str, int]:
+    """Codes of the benchmark's literal words, and of units."""
+    hashed = {word: xxhash.xxh64_intdigest(word, 1) >> 4 << 4 | KNOWN for word in words}
+    return hashed | {word: hashed.get(word, _OTHER) | MEASURE for word in UNITS}
 
 
 def template(codes: np.ndarray, blind: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +130,17 @@ def template(codes: np.ndarray, blind: bool = False) -> tuple[np.ndarray, np.nda
 
 
 def window_hashes(hashes: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` template tokens."""
+    """A 64-bit hash of every window of ``width`` template tokens: a polynomial in their hashes, by differences of its running sum."""
     n = len(hashes) - width + 1
-    total = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(width if n > 0 else 0):
-        total += (hashes[k : k + n] ^ (hashes[k : k + n] >> np.uint64(29))) * np.uint64(_POWERS[k])
-    return total
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    if len(_powers[0]) <= len(hashes):
+        size = 2 * len(hashes) + 1000
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.r_[np.uint64(1), np.full(size, base, dtype=np.uint64)])
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum((hashes ^ (hashes >> np.uint64(29))) * _powers[0][: len(hashes)], out=sums[1:])
+    return (sums[width:] - sums[:-width]) * _powers[1][:n]
 
 
 class Text:
@@ -138,7 +166,10 @@ class Text:
 
 
 def index_items(items: list[tuple]) -> list[tuple]:
-    """(hash, width, item_id, position, slot values, windows of the item, reading) of every indexed benchmark window."""
+    """(hash, width, item_id, position, slot values, windows of the item, reading, words) of every indexed benchmark window.
+
+    The words are all literal ones of the item, once, with its first window.
+    """
     rows = []
     for item_id, text in items:
         codes = np.array([c for chunk in (text or "").split() for c in chunk_codes(chunk)], dtype=np.uint64)
@@ -150,7 +181,8 @@ def index_items(items: list[tuple]) -> list[tuple]:
             literal = ~np.isin(made.hashes, np.array([_NUMBER, _NAME, _UNIT], dtype=np.uint64))
             found = made.windows(width).tolist()
             chosen = [p for p in range(len(found)) if literal[p : p + width].sum() >= min(MIN_LITERALS, width)]
-            rows += [(found[p], width, item_id, p, made.slots(p, width), len(chosen), blind) for p in chosen]
+            words = sorted({t.lower() for t in _TOKENS.findall(text) if not t[0].isdigit()})
+            rows += [(found[p], width, item_id, p, made.slots(p, width), len(chosen), blind, words if p == chosen[0] else []) for p in chosen]
     return rows
 
 
@@ -179,22 +211,29 @@ class Matcher:
 
     def __init__(self, rows: list[tuple]):
         self.by_hash: dict[int, list[tuple]] = defaultdict(list)
-        for h, width, item_id, position, slots, total, _ in rows:
+        for h, width, item_id, position, slots, total, *_ in rows:
             self.by_hash[h].append((width, item_id, position, slots, total))
         kinds = {(r[6], r[1]) for r in rows}
         self.sorted = {(blind, w): np.array(sorted({r[0] for r in rows if (r[6], r[1]) == (blind, w)}), dtype=np.uint64) for blind, w in kinds}
-        self.cache = WordCache(chunk_codes, 250_000)
+        self.least = min((w for _, w in kinds), default=0)
+        self.cache = WordCache(_coder(_known({word for r in rows for word in r[7]})), 250_000)
 
-    def codes(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())), dtype=np.uint64)
+    def _may(self, codes: np.ndarray, blind: bool) -> bool:
+        """Whether any window can match: so many tokens on end that are words of the benchmark or can be placeholders."""
+        out = np.flatnonzero((codes & np.uint64(KNOWN | MEASURE | (0 if blind else CAPITAL))) == 0)
+        if not len(out):
+            return len(codes) >= self.least
+        return bool(max(out[0], len(codes) - 1 - out[-1], np.diff(out).max(initial=1) - 1) >= self.least)
 
     def leaks(self, text: str | None) -> list[tuple]:
         """(item_id, n_windows, coverage, n_slots) of the items that one whole text leaks."""
-        codes = self.codes(text)
+        codes = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())), dtype=np.uint64)
         if not len(codes) or not self.sorted:
             return []
         best: dict = {}
         for blind in (False, True):
+            if not self._may(codes, blind):
+                continue
             made = Text(text, codes, blind)
             matches: dict = defaultdict(list)
             totals = {}
@@ -219,21 +258,21 @@ class Matcher:
 
 def _index(benchmark: DataFrame) -> DataFrame:
     """The rows of :func:`index_items` for all items."""
-    schema = with_key(benchmark, "item_id", "hash long, width int, position long, slots array<string>, total long, blind boolean")
+    schema = with_key(benchmark, "item_id", "hash long, width int, position long, slots array<string>, total long, blind boolean, words array<string>")
 
     def kernel():
-        return lambda item_id, text: [(item_id, h - (1 << 64) if h >> 63 else h, w, p, list(s), n, blind) for h, w, _, p, s, n, blind in index_items([(item_id, text)])]
+        return lambda item_id, text: [(item_id, h - (1 << 64) if h >> 63 else h, w, p, list(s), n, blind, words) for h, w, _, p, s, n, blind, words in index_items([(item_id, text)])]
 
     return materialize(map_rows(benchmark.where("item_id IS NOT NULL"), ["item_id", "text"], kernel, schema), "decontam-index")
 
 
 def _bounded(index: DataFrame, most: int) -> list[tuple] | None:
     """The index's rows where a worker's copy takes no more than ``most`` bytes (Python's objects with their heads), else None."""
-    slots = F.aggregate("slots", F.lit(0), lambda s, x: s + 4 * F.length(x) + 60)
+    slots = F.aggregate(F.concat("slots", "words"), F.lit(0), lambda s, x: s + 4 * F.length(x) + 150)
     size = index.agg(F.sum(F.lit(500) + slots)).first()[0] or 0
     if size > most:
         return None
-    return [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"], r["blind"]) for r in index.collect()]
+    return [(r["hash"] % (1 << 64), r["width"], r["item_id"], r["position"], tuple(r["slots"]), r["total"], r["blind"], r["words"]) for r in index.collect()]
 
 
 def _matcher(spark: SparkSession, rows: list[tuple]):
@@ -264,7 +303,7 @@ def _schema(docs: DataFrame, benchmark: DataFrame, key: str):
 
 def _probes(hashes: np.ndarray) -> list[np.ndarray]:
     """The Bloom filter's bits of each hash."""
-    return [(hashes * np.uint64(_POWERS[k]) >> np.uint64(20)) % np.uint64(BLOOM_BITS) for k in range(PROBES)]
+    return [(hashes * np.uint64(pow(_BASE, k + 1, 1 << 64)) >> np.uint64(20)) % np.uint64(BLOOM_BITS) for k in range(PROBES)]
 
 
 def _bloom(index: DataFrame) -> np.ndarray:
