@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tessera.llm import chat
 
@@ -32,7 +33,7 @@ def test_examples_are_prefixes(spark, odd_dir):
     for conv, turns in by.items():
         text, n = "", 0
         for role, body in turns:
-            head = f"<|im_start|>{_escape(role)}\n".replace("\n", "\\n", role.count("\n")) if "\n" in role else f"<|im_start|>{_escape(role)}\n"
+            head = "<|im_start|>" + _escape(role).replace("\n", "<\\n") + "\n"
             if role == "assistant":
                 want.append((conv, n, text + head, _escape(body)))
                 n += 1
@@ -51,6 +52,18 @@ def test_query_reads_expanded_examples(spark, odd_dir):
     assert "posexplode" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_any_role_and_text_read_back(spark, tmp_path):
+    rng = random.Random(3)
+    pieces = ["\\", "n", "\n", "<", "|", "<|", "<\\|", "\\n", "<\\n", "im_end|>", "<|im_start|>", "a", " "]
+    some = lambda: "".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))
+    turns = {c: [(k, rng.choice([some(), "assistant", "a\\name"]), some()) for k in range(rng.randint(1, 5))] for c in range(200)}
+    spark.createDataFrame([(c, *t) for c, ts in turns.items() for t in ts], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op6_chat(spark, str(tmp_path)).collect()}
+    for c, ts in turns.items():
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in ts).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(t for _, r, t in ts if r == "assistant").encode()).hexdigest()
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = chat.op6_chat(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -32,12 +32,19 @@ def test_best_fit_is_best_fit():
         assert sorted(capacity - sum(lengths[i] for i in r) for r in rows) == sorted(room) and len(rows) == len(want)
 
 
+END = packing.end_of_text(packing.encoder())
+
+
 def restored(rows, seq_len):
     pieces = {}
+    assert len({(r["shard"], r["row"]) for r in rows}) == len(rows)
     for r in rows:
         ids = np.frombuffer(r["ids"], dtype="<u2")
+        positions = np.frombuffer(r["position_ids"], dtype="<u2").tolist()
+        resets = [k for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:]) for k in range(b - a)]
+        assert positions == resets + [0] * (seq_len - len(resets))
         assert len(ids) == seq_len and r["n_tokens"] == r["cu_seqlens"][-1] and r["n_segments"] == len(r["doc_ids"])
-        assert all(i == packing.END_OF_TEXT for i in ids[r["n_tokens"] :])
+        assert all(i == END for i in ids[r["n_tokens"] :])
         for doc, offset, a, b in zip(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"], r["cu_seqlens"][1:]):
             pieces.setdefault(doc, []).append((offset, ids[a:b].tolist()))
     out = {}
@@ -57,15 +64,22 @@ def test_documents_come_back(spark, sf_dir):
     for seq_len, shard in ((2048, packing.SHARD_TOKENS), (64, 5000)):
         rows = packing.pack_documents(docs, seq_len=seq_len, shard_tokens=shard).collect()
         got = restored(rows, seq_len)
-        assert got == {d: [*encode.encode_ordinary(t), packing.END_OF_TEXT] for d, t in texts.items()}
+        assert got == {d: [*encode.encode_ordinary(t), END] for d, t in texts.items()}
         assert all(encode.decode(ids[:-1]) == texts[d] for d, ids in got.items())
         filled = sum(r["n_tokens"] for r in rows) / (len(rows) * seq_len)
         assert filled > 0.97
 
 
-def test_positions():
-    assert packing.position_ids([0, 2, 5], [0, 7], 6) == [0, 1, 0, 1, 2, 0]
-    assert packing.position_ids([0, 2, 5], [0, 7], 6, resume=True) == [0, 1, 7, 8, 9, 0]
+def test_widths():
+    assert END == 50256 and packing.width(END) == "<u2" and packing.width(1 << 16) == "<u4"
+    (row,) = packing.pack_shard([(7, np.array([70_000, 1, 80_000], dtype="<u4"))], 4, 80_000, 5)
+    assert row[:4] == (5, 0, 3, 1) and np.frombuffer(row[7], dtype="<u4").tolist() == [70_000, 1, 80_000, 80_000]
+
+
+def test_shards_are_told_apart_without_ids(spark):
+    docs = spark.createDataFrame([(None, "the same text"), (1, "the same text")] * 40, "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, seq_len=16, shard_tokens=32).collect()
+    assert len({(r["shard"], r["row"]) for r in rows}) == len(rows) > 4
 
 
 def test_written_rows(spark, sf_dir, tmp_path):
