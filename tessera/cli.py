@@ -93,6 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     try:
         documents = {lang: payload.LanguageReport(facts, lang, config).payload() for lang in languages}
         title = a.title or title_of(config, languages)
+        # scripts that don't parse leave no trace in reports, so each is named here
+        for row in facts.nested.where("lang = 'typescript' AND parse_error IS NOT NULL").select("display", "parse_error").orderBy("display").toLocalIterator():
+            print(f"  SKIP: {row['display']}: {row['parse_error']}", file=err)
         if a.json:
             print(payload.to_json(documents, title), file=out)
             return 0

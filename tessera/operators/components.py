@@ -12,18 +12,25 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this application only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    """The folder that ``spark.checkpoint.dir`` names, else the warehouse; a local master, one machine, has a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and (context.master == "local" or context.master.startswith("local[")):
+        named = _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, reread: lineage ends where lost executors cannot reach it."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`written` wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, reread, and its path: lineage ends where lost executors cannot reach it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,16 +40,20 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smaller neighbours and itself.  Each round is two aggregations and joins on node columns; rows
     never exceed the edges.  Rounds are logarithmic in practice.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         outward = both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = outward.groupBy("a").agg(F.min("b").alias("m"))
         moved = outward.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(low.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct(), "components")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        after, after_path = written(low.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct(), "components")
+        settled = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        discard(edges.sparkSession, path)
+        now, path = after, after_path
+        if settled:
             break
-        now = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_anti")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.facts import Facts
-from .components import connected
+from .components import connected, discard, written
 
 #: Edges up to which cycles are searched on the driver; larger graphs are searched by component.
 DRIVER_EDGES = 200_000
@@ -117,6 +117,23 @@ def _cycles_of(pairs) -> list[tuple[str, int, list[str]]]:
     return _unique(search_cycles(adjacent))
 
 
+def _without_sinks(e: DataFrame, rounds: int = 10) -> DataFrame:
+    """Edges without those to modules that import nothing, again and again: no search through them meets a cycle.
+
+    Modules that nothing imports stay, for a search may begin with one and so decide how a cycle is written.
+    """
+    path, left = None, None
+    for _ in range(rounds):
+        open_ends = e.select("lang", F.col("src").alias("dst")).distinct()
+        after, after_path = written(e.join(open_ends, ["lang", "dst"], "left_semi"), "edges")
+        if path:
+            discard(e.sparkSession, path)
+        e, path, before, left = after, after_path, left, after.count()
+        if left == before:
+            break
+    return e
+
+
 def cycles(facts: Facts, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(lang, ordinal, nodes, text): import cycles in search order.
 
@@ -136,6 +153,7 @@ def cycles(facts: Facts, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     else:
         # names of one language start with its tag, so that languages never share a component
         tag = lambda c: F.concat("lang", F.lit("\x00"), c)
+        e = _without_sinks(e)
         roots = connected(e.select(tag("src").alias("a"), tag("dst").alias("b")))
         grouped = e.withColumn("node", tag("src")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 

@@ -32,14 +32,6 @@ def doc_secret_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", found.cast("long").alias("hints")).where("hints > 0")
 
 
-def doc_todo_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tag, count): lines with a task marker after a comment sign."""
-    lines = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    # a plain word boundary would let accented letters end a marker in one engine and not in another
-    tag = F.upper(F.regexp_extract("line", r"(?i)(?://|/\*|#).*(?<![A-Za-z0-9_])(TODO|FIXME|HACK|XXX)(?![A-Za-z0-9_])", 1))
-    return lines.select(tag.alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
-
-
 def page_link_indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, count, pages): links by target, and the pages that have them."""
     links = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("target"))
@@ -57,7 +49,6 @@ SQL = {
     "doc_exact_clones": r"SELECT substring(md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))), 1, 16) AS hash, count(*)::BIGINT AS count, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "doc_line_inventory": "SELECT source, count(*)::BIGINT AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, max(len(string_split(text, chr(10))))::BIGINT AS longest FROM documents GROUP BY source",
     "doc_secret_hints": r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key) *= *"[^" ]{8,}"'))::BIGINT AS hints FROM documents WHERE regexp_matches(text, '(?i)(password|passwd|secret|token|api_?key) *= *"[^" ]{8,}"')""",
-    "doc_todo_markers": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT upper(regexp_extract(line, '(?i)(?://|/\*|#).*\b(TODO|FIXME|HACK|XXX)\b', 1)) AS tag FROM l) SELECT tag, count(*)::BIGINT AS count FROM t WHERE tag <> '' GROUP BY tag""",
     "page_link_indegree": r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) SELECT target, count(*)::BIGINT AS count, count(DISTINCT page_id)::BIGINT AS pages FROM l GROUP BY target""",
     "page_host_frequency": "SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, count(*)::BIGINT AS count FROM pages GROUP BY 1",
 }

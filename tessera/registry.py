@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from .sources import corpus
 
 #: Nested facts that stay cached: parsing dominates, and reports share it.
 _CACHED: OrderedDict[tuple, Facts] = OrderedDict()
-KEEP = 4
+KEEP = 8
 BOUNDARIES = (BoundaryRule("web/c1", ("../c2", "react")), BoundaryRule("web/c", ("@scope",)))
 
 
@@ -25,6 +26,10 @@ def facts_of(spark: SparkSession, sf_dir: str, *languages: str) -> Facts:
     if key in _CACHED:
         _CACHED.move_to_end(key)
         return _CACHED[key]
+    if len(languages) > 1:
+        # several languages are those of each, parsed once
+        parts = [facts_of(spark, sf_dir, lang).nested for lang in languages]
+        return Facts(reduce(DataFrame.unionByName, parts))
     nested = extract_facts(corpus.sources(spark, sf_dir, *languages), Settings(orm_methods=("query",)))
     _CACHED[key] = Facts(nested.persist(StorageLevel.MEMORY_AND_DISK))
     while len(_CACHED) > KEEP:
@@ -39,6 +44,7 @@ def _query(languages: tuple[str, ...], build):
 
 
 PY, TS, RS = ("python",), ("typescript",), ("rust",)
+PY_FORMS, TS_FORMS, RS_FORMS = ("python_forms",), ("typescript_forms",), ("rust_forms",)
 ALL = ("python", "typescript", "rust")
 
 
@@ -67,6 +73,19 @@ def _gates(f: Facts) -> DataFrame:
     return gates.breaches(f, Gates(max_complexity=5, max_cognitive=3, max_params=1, max_nesting=2, max_lines=12), n_cycles=0)
 
 
+def _imports(f: Facts) -> DataFrame:
+    """Resolved imports as they stand in the files."""
+    return _joined(f.table("imports").select("module", "target", "specifiers", "is_internal", "line"), "specifiers")
+
+
+def _star_sources(f: Facts) -> DataFrame:
+    return f.parsed.select("module", F.explode("star_sources").alias("target"))
+
+
+def _rule_totals(f: Facts) -> DataFrame:
+    return audits.rule_audit(f, "eslint").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("unique_rules"))
+
+
 QUERIES = {
     "py_complexity_topk": _query(PY, lambda f: complexity.complexity(f, 30).select("name", "cc", "cognitive", "params", "nesting", "lines", "file", "line", "is_test", "is_method")),
     "py_cognitive_topk": _query(PY, lambda f: complexity.cognitive(f, 30).select("name", "cognitive", "file", "line")),
@@ -123,11 +142,26 @@ QUERIES = {
     "rs_coupling": _query(RS, lambda f: graph.coupling(f).drop("lang")),
     "rs_todo_audit": _query(RS, lambda f: _joined(audits.todo_audit(f).drop("lang"), "samples")),
     "gates": _query(PY, _gates),
+    "gate_cycles": _query(PY, lambda f: gates.breaches(f, Gates(max_cycles=0)).select("gate", "value", "limit")),
+    "py_marker_total": _query(PY, lambda f: audits.todo_audit(f).agg(F.sum("count").alias("total"))),
+    "ts_rule_totals": _query(TS, _rule_totals),
+    "py_relative_imports": _query(PY_FORMS, _imports),
+    "py_star_imports": _query(PY_FORMS, _star_sources),
+    "py_methods": _query(PY_FORMS, lambda f: _joined(f.functions.select("qualname", "params", "is_method", "decorators", "file", "line"), "decorators")),
+    "ts_classes": _query(TS_FORMS, lambda f: inventory.largest_types(f).select("name", "lines", "methods", "properties", "has_heritage", "file", "line")),
+    "ts_star_exports": _query(TS_FORMS, _star_sources),
+    "ts_namespace_imports": _query(TS_FORMS, lambda f: _imports(f).where("is_internal AND specifiers LIKE '* as %'")),
+    "ts_own_hooks": _query(TS_FORMS, frameworks.hook_frequency),
+    "ts_params": _query(TS_FORMS, lambda f: f.functions.select("name", "params", "file", "line")),
+    "ts_structural_clones": _query(TS_FORMS, lambda f: _clones(f, False)),
+    "ts_forms_coupling": _query(TS_FORMS, lambda f: graph.coupling(f).drop("lang")),
+    "rs_paths": _query(RS_FORMS, _imports),
+    "rs_enums": _query(RS_FORMS, lambda f: inventory.largest_types(f).select("name", "kind", "lines", "fields", "methods", "file", "line")),
+    "rs_structural_clones": _query(RS_FORMS, lambda f: _clones(f, False)),
     "multi_summary": _query(ALL, lambda f: inventory.summary(f).select("lang", "files", "lines", "functions")),
     "doc_exact_clones": tables.doc_exact_clones,
     "doc_line_inventory": tables.doc_line_inventory,
     "doc_secret_hints": tables.doc_secret_hints,
-    "doc_todo_markers": tables.doc_todo_markers,
     "page_link_indegree": tables.page_link_indegree,
     "page_host_frequency": tables.page_host_frequency,
 }
@@ -191,6 +225,13 @@ s AS (
 
 _SAMPLES = "coalesce(string_agg(CASE WHEN r <= 5 THEN loc END, ',' ORDER BY r), '')"
 
+#: Files of the second corpus.
+_S = f"""
+s AS (
+    SELECT s_suppkey AS k, {_T.format(k='s_suppkey')} AS t, s_suppkey % 3 AS n, 'd' || (s_suppkey % 3) || '/form_' || s_suppkey AS stem FROM supplier
+)"""
+_CLONED = f"""WITH {_S} SELECT count(*)::BIGINT AS count, min('long_' || k) AS first_name, max('long_' || k) AS last_name, sum({{lines}})::BIGINT AS total_lines FROM s GROUP BY n HAVING count(*) > 1"""
+
 ORACLE_SQL = {
     "py_complexity_topk": f"WITH {_P} SELECT name, cc::BIGINT AS cc, cog::BIGINT AS cognitive, params::BIGINT AS params, depth::BIGINT AS nesting, lines::BIGINT AS lines, file, line::BIGINT AS line, is_test, is_method FROM fn ORDER BY cc DESC, name, file, line LIMIT 30",
     "py_cognitive_topk": f"WITH {_P} SELECT name, cog::BIGINT AS cognitive, file, line::BIGINT AS line FROM fn ORDER BY cog DESC, name, file, line LIMIT 30",
@@ -270,6 +311,33 @@ ORACLE_SQL = {
             UNION ALL (SELECT 'max-nesting', depth, 2, name, file, line FROM fn WHERE depth > 2 ORDER BY fn.depth DESC, name, file, line LIMIT 1)
             UNION ALL (SELECT 'max-lines', lines, 12, name, file, line FROM fn WHERE lines > 12 ORDER BY fn.cc DESC, name, file, line LIMIT 1))
         SELECT gate, value::BIGINT AS value, lim::BIGINT AS "limit", name, file, line::BIGINT AS line FROM x""",
+    "gate_cycles": f"""WITH RECURSIVE {_P}, walk AS (
+            SELECT k AS start, k AS at, [k] AS ks FROM f
+            UNION ALL SELECT w.start, f.t, list_append(w.ks, f.t) FROM walk w JOIN f ON f.k = w.at WHERE f.t <> w.start AND NOT list_contains(w.ks, f.t) AND EXISTS (SELECT 1 FROM f g WHERE g.k = f.t)
+        ), closed AS (SELECT w.ks FROM walk w JOIN f ON f.k = w.at WHERE f.t = w.start AND w.start = list_min(w.ks))
+        SELECT 'max-cycles' AS gate, count(*)::BIGINT AS value, 0::BIGINT AS "limit" FROM closed HAVING count(*) > 0""",
+    "py_marker_total": f"WITH {_P} SELECT count(*)::BIGINT AS total FROM f WHERE k % 4 = 0",
+    "ts_rule_totals": f"WITH {_C} SELECT (2 * count(*))::BIGINT AS total, CASE WHEN count(*) > 0 THEN 2 ELSE 0 END::BIGINT AS unique_rules FROM f WHERE k % 6 = 0",
+    "py_relative_imports": f"""WITH {_S}, m AS (SELECT *, 'forms.lib.d' || n || '.form_' || k AS module FROM s)
+        SELECT module, 'forms.lib.d' || n || '.form_' || t AS target, 'size' AS specifiers, TRUE AS is_internal, 1::BIGINT AS line FROM m
+        UNION ALL SELECT module, 'forms.lib.util_' || (k % 2), '*', TRUE, 2 FROM m UNION ALL SELECT module, 'forms.top', 'thing,other', TRUE, 3 FROM m""",
+    "py_star_imports": f"WITH {_S} SELECT 'forms.lib.d' || n || '.form_' || k AS module, 'forms.util_' || (k % 2) AS target FROM s",
+    "py_methods": f"""WITH {_S}, m AS (SELECT *, 'forms/lib/' || stem || '.py' AS file FROM s)
+        SELECT 'Box_' || k || '.size' AS qualname, 1::BIGINT AS params, TRUE AS is_method, '@cached(ttl=' || (k % 4) || ')' AS decorators, file, 6::BIGINT AS line FROM m
+        UNION ALL SELECT 'Box_' || k || '.pull', 2, TRUE, '', file, 8 FROM m WHERE n = 0""",
+    "ts_classes": f"WITH {_S} SELECT 'Box_' || k AS name, 5::BIGINT AS lines, 2::BIGINT AS methods, 1::BIGINT AS properties, k % 2 = 0 AS has_heritage, 'forms/' || stem || '.tsx' AS file, 3::BIGINT AS line FROM s",
+    "ts_star_exports": f"WITH {_S} SELECT stem AS module, 'd' || unnest([n, t % 3]) || '/form_' || t AS target FROM s",
+    "ts_namespace_imports": f"WITH {_S} SELECT stem AS module, 'd' || (t % 3) || '/form_' || t AS target, '* as util' AS specifiers, TRUE AS is_internal, 2::BIGINT AS line FROM s",
+    "ts_own_hooks": f"WITH {_S} SELECT 'useOwn_' || (k % 4) AS hook, count(*)::BIGINT AS count, TRUE AS is_custom FROM s GROUP BY 1",
+    "ts_params": f"""WITH {_S}, m AS (SELECT *, 'forms/' || stem || '.tsx' AS file FROM s)
+        SELECT 'useOwn_' || (k % 4) AS name, 0::BIGINT AS params, file, 8::BIGINT AS line FROM m UNION ALL SELECT 'Card_' || k, 0, file, 9 FROM m UNION ALL SELECT 'long_' || k, 1, file, 13 FROM m UNION ALL SELECT 'run', 1, file, 6 FROM m""",
+    "ts_structural_clones": _CLONED.format(lines="13 + 2 * n"),
+    "ts_forms_coupling": f"""WITH {_S}, e AS (SELECT DISTINCT stem AS module, 'd' || (t % 3) || '/form_' || t AS dst FROM s), i AS (SELECT dst AS module, count(*) AS ca FROM e GROUP BY 1)
+        SELECT e.module, coalesce(ca, 0)::BIGINT AS ca, 1::BIGINT AS ce, round(1 / (coalesce(ca, 0) + 1) * 100) / 100 AS instability FROM e LEFT JOIN i USING (module)""",
+    "rs_paths": f"""WITH {_S} SELECT stem AS module, stem || '/inner/one' AS target, 'one' AS specifiers, TRUE AS is_internal, 1::BIGINT AS line FROM s
+        UNION ALL SELECT stem, 'd' || n || '/form_' || t || '/long_' || t, 'long_' || t, TRUE, 2 FROM s UNION ALL SELECT stem, 'top', 'top', TRUE, 3 FROM s""",
+    "rs_enums": f"WITH {_S} SELECT 'Kind_' || k AS name, 'enum' AS kind, (3 + (k % 2 = 0)::INT)::BIGINT AS lines, (2 + (k % 2 = 0)::INT)::BIGINT AS fields, 0::BIGINT AS methods, stem || '.rs' AS file, 4::BIGINT AS line FROM s",
+    "rs_structural_clones": _CLONED.format(lines="13 + 2 * n"),
     "multi_summary": f"""SELECT 'python' AS lang, files, lines, functions FROM (WITH {_P} SELECT count(*)::BIGINT AS files, sum(lines)::BIGINT AS lines, sum(n_functions)::BIGINT AS functions FROM sized)
         UNION ALL SELECT 'typescript', files, lines, functions FROM (WITH {_C} SELECT count(*)::BIGINT AS files, sum(catch_line + (k % 9 = 0)::INT + (k % 12 = 0)::INT)::BIGINT AS lines, sum(1 + k % 2 + (k % 10 = 1)::INT)::BIGINT AS functions FROM sized)
         UNION ALL SELECT 'rust', files, lines, functions FROM (WITH {_R} SELECT count(*)::BIGINT AS files, sum(run_end + 1)::BIGINT AS lines, (2 * count(*))::BIGINT AS functions FROM l)""",

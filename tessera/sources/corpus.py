@@ -71,6 +71,33 @@ RUST_LINES = [
 ]
 
 
+# A second corpus, of a row of ``supplier`` a file, with the forms that the first one lacks: relative,
+# star and namespace imports, methods and decorators with arguments, classes with heritage, hooks of
+# one's own, enums, paths by self and super, and long functions of few shapes.
+PYTHON_FORMS = [
+    ("TRUE", "'from .form_' || {target} || ' import size as s' || (k % 3)"),
+    ("TRUE", "'from ..util_' || (k % 2) || ' import *'"),
+    ("TRUE", "'from ...top import thing, other as o'"),
+    ("TRUE", "'class Box_' || k || ':\n    @cached(ttl=' || (k % 4) || ')\n    def size(self, a):\n        return a'"),
+    ("k % 3 = 0", "'    async def pull(self, a, b=1):\n        return a'"),
+]
+TYPESCRIPT_FORMS = [
+    ("TRUE", "'export * from \"./form_' || {target} || '\";'"),
+    ("TRUE", "'import * as util from \"../d' || ({target} % 3) || '/form_' || {target} || '\";'"),
+    ("TRUE", "'export class Box_' || k || CASE WHEN k % 2 = 0 THEN ' extends Base' ELSE '' END || ' {\n  private name: string = \"x\";\n  get size() { return 1; }\n  run(this: Box, a: number, ...rest: number[]) { return a; }\n}'"),
+    ("TRUE", "'export function useOwn_' || (k % 4) || '() { return 1; }'"),
+    ("TRUE", "'export const Card_' || k || ' = () => {\n  useOwn_' || (k % 4) || '();\n  return <div/>;\n};'"),
+    ("TRUE", "'export function long_' || k || '(a: number) {\n' || repeat('  let x = a;\n', 9) || repeat('  if (a) {\n', CAST(k % 3 AS INT)) || '  work(a);\n' || repeat('  }\n', CAST(k % 3 AS INT)) || '  return a;\n}'"),
+]
+RUST_FORMS = [
+    ("TRUE", "'use self::inner::one;'"),
+    ("TRUE", "'use super::form_' || {target} || '::long_' || {target} || ';'"),
+    ("TRUE", "'use super::super::top;'"),
+    ("TRUE", "'pub enum Kind_' || k || ' {\n    A,\n    B(u32),\n' || CASE WHEN k % 2 = 0 THEN '    C { x: u8 },\n' ELSE '' END || '}'"),
+    ("TRUE", "'pub fn long_' || k || '(a: bool) -> u32 {\n' || repeat('    touch();\n', 9) || repeat('    if a {\n', CAST(k % 3 AS INT)) || '    work();\n' || repeat('    }\n', CAST(k % 3 AS INT)) || '    1\n}'"),
+]
+
+
 def _render(lines: list[tuple[str, str]]) -> str:
     """SQL of a file's text: lines whose condition holds, joined, with a line end after the last."""
     target = TARGET.format(k="k")
@@ -102,16 +129,29 @@ def rust_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sources(rows, "rust", "'s' || (k % 3) || '/item_' || k || '.rs'", "crate", RUST_LINES)
 
 
+def _forms(lang: str, suffix: str, root: str, top: str, lines: list[tuple[str, str]]):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k")
+        return _sources(rows, lang, f"'{top}d' || (k % 3) || '/form_' || k || '{suffix}'", root, lines)
+
+    return build
+
+
 BUILDERS = {"python": python_sources, "typescript": typescript_sources, "rust": rust_sources}
+FORMS = {
+    "python_forms": _forms("python", ".py", "forms", "lib/", PYTHON_FORMS),
+    "typescript_forms": _forms("typescript", ".tsx", "forms", "", TYPESCRIPT_FORMS),
+    "rust_forms": _forms("rust", ".rs", "crate", "", RUST_FORMS),
+}
 
 
 def sources(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
-    """SOURCE rows of the corpora of ``languages`` (all by default), spread evenly over the cluster's cores.
+    """SOURCE rows of the corpora of ``languages`` (those of the first corpus by default), spread evenly over the cluster's cores.
 
     Generated files are tiny rows of a small table: a scan alone would parse them in very few tasks.
     """
     out = None
     for lang in languages or BUILDERS:
-        rows = BUILDERS[lang](spark, sf_dir)
+        rows = (BUILDERS | FORMS)[lang](spark, sf_dir)
         out = rows if out is None else out.unionByName(rows)
     return out.select(*SOURCE.names).repartition(max(2, 2 * spark.sparkContext.defaultParallelism))

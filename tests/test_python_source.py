@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.functions.common import audit_literal
 from tessera.functions.python_source import extract, module_id
 
 
@@ -163,3 +164,23 @@ def test_module_ids():
 def test_long_chains_do_not_recurse():
     f = facts("def f(a):\n    return " + " + ".join(["a"] * 900) + "\n")
     assert f["parse_error"] is None and f["functions"][0]["complexity"] == 1
+
+
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [
+        ("eyJhbGciOiJIUzI1.opaque_payload.c2lnbmF0dXJl", "jwt_token"),
+        ("a note: eyJhbGciOiJIUzI1.opaque_payload.c2lnbmF0dXJl", None),
+        ("xoxb-1234567890ab", "slack_token"),
+        ("tokens look like xoxb-1234567890ab here", None),
+        ("AIza" + "a-B_0" * 7, "google_api_key"),
+        ("SG." + "a" * 22 + "." + "b" * 43, "sendgrid_api_key"),
+        ("-----BEGIN EC PRIVATE KEY-----\nabc", "private_key_pem"),
+        ("-----BEGIN DSA PRIVATE KEY-----", None),
+        ("use postgres://me:secret@host/db", "db_connection_string"),
+        ("redis://me:secret@host/db", None),
+    ],
+)
+def test_secret_formats(value, kind):
+    found = audit_literal(value, "literal")
+    assert (found and found[0]) == kind

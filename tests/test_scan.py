@@ -15,12 +15,12 @@ from tessera.sources import files
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("proj") / "minimal-py"
-    (root / "pkg").mkdir(parents=True)
-    (root / "mutable_defaults.py").write_text("def bad_defaults(items=[], mapping={}, unique=set()):\n    items.append(1)\n    return items, mapping, unique\n")
-    (root / "star_consumer.py").write_text("from pkg.util import *\n")
-    (root / "pkg" / "__init__.py").write_text('"""Package."""\n')
-    (root / "pkg" / "util.py").write_text('"""Util."""\n\n\ndef add(a, b):\n    if a or b:\n        return a + b\n    return 0\n')
+    root = tmp_path_factory.mktemp("proj") / "shop"
+    (root / "store").mkdir(parents=True)
+    (root / "basket.py").write_text("def fill(rows=[], prices={}, sold=set()):\n    rows.append(prices)\n    return rows, sold\n")
+    (root / "till.py").write_text("from store.tax import *\n")
+    (root / "store" / "__init__.py").write_text('"""What is in stock."""\n')
+    (root / "store" / "tax.py").write_text('"""Rates."""\n\n\ndef rate(goods, land):\n    if goods or land:\n        return 7\n    return 19\n')
     return root
 
 
@@ -47,19 +47,19 @@ def run(spark, *argv):
 
 
 def test_python_payload(spark, tree):
-    code, out, _ = run(spark, tree, "--python", "--pkg", "pkg", "--json")
+    code, out, _ = run(spark, tree, "--python", "--pkg", "store", "--json")
     doc = json.loads(out)
     assert code == 0
     s = doc["summary"]
     assert (s["files"], s["files_parsed"], s["parse_errors"], s["lines"], s["functions"], s["classes"], s["internal_imports"]) == (4, 4, 0, 16, 2, 0, 1)
     assert s["test_prod"] == {"test_lines": 0, "production_lines": 16, "test_functions": 0, "production_functions": 2, "line_ratio_test": 0.0, "function_ratio_test": 0.0}
-    add = doc["complexity"][0]
-    assert (add["name"], add["cc"], add["cognitive"], add["params"], add["nesting"], add["lines"], add["line"], add["file"]) == ("add", 3, 1, 2, 1, 4, 4, "minimal-py/pkg/util.py")
-    assert doc["imports"] == {"modules": 4, "edges": 1, "top_imported": [{"module": "pkg.util", "count": 1}]}
-    assert doc["coupling"] == [{"module": "pkg.star_consumer", "ca": 0, "ce": 1, "instability": 1.0}]
+    rate = doc["complexity"][0]
+    assert tuple(rate[k] for k in ("name", "cc", "cognitive", "params", "nesting", "lines", "line", "file")) == ("rate", 3, 1, 2, 1, 4, 4, "shop/store/tax.py")
+    assert doc["imports"] == {"modules": 4, "edges": 1, "top_imported": [{"module": "store.tax", "count": 1}]}
+    assert doc["coupling"] == [{"module": "store.till", "ca": 0, "ce": 1, "instability": 1.0}]
     assert doc["cycles"] == [] and doc["code_clones"] == []
-    assert [(d["module"], d["name"]) for d in doc["dead_exports"]] == [("pkg.mutable_defaults", "bad_defaults"), ("pkg.pkg.util", "add")]
-    assert [(m["param_name"], m["kind"], m["line"]) for m in doc["mutable_defaults"]] == [("items", "list", 1), ("mapping", "dict", 1), ("unique", "call", 1)]
+    assert [(d["module"], d["name"]) for d in doc["dead_exports"]] == [("store.basket", "fill"), ("store.store.tax", "rate")]
+    assert [(m["param_name"], m["kind"], m["line"]) for m in doc["mutable_defaults"]] == [("rows", "list", 1), ("prices", "dict", 1), ("sold", "call", 1)]
     assert all(m["file"].startswith("/") for m in doc["mutable_defaults"])
 
 
@@ -79,14 +79,15 @@ def test_gates(spark, tree, flags, code):
 
 
 def test_exclude(spark, tree):
-    doc = json.loads(run(spark, tree, "--python", "--exclude", "util.py", "--json")[1])
+    doc = json.loads(run(spark, tree, "--python", "--exclude", "tax.py", "--json")[1])
     assert doc["summary"]["files"] == 3
 
 
 def test_multi_language(spark, mixed):
     assert files.detect_languages(str(mixed)) == ("python", "typescript", "rust")
-    code, out, _ = run(spark, mixed, "--json")
+    code, out, err = run(spark, mixed, "--json")
     doc = json.loads(out)
+    assert [line.split(":")[:2] for line in err.splitlines()] == [["  SKIP", " app/web/bad.ts"]]
     assert code == 0 and "multi-language" in doc["report_title"]
     assert doc["typescript"]["summary"]["files"] == 2
     assert doc["typescript"]["cycles"] == ["web/a -> web/b -> web/a"]
