@@ -174,8 +174,8 @@ class WordTokenizer:
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.chunks = re.compile(f"[^{WHITE}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
-        self.words = WordCache(self._word, 120_000)
-        self.cache = WordCache(self._chunk, 100_000)
+        self.words = WordCache(self._word, 200_000)
+        self.cache = WordCache(self._chunk, 200_000)
 
     def _word(self, piece: str) -> tuple[bytes, bytes]:
         """(ids, token strings) of one piece."""

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, discard, kept, map_rows, materialize, small_batches, struct, table, with_key
+from .common import WordCache, discard, free_name, kept, map_rows, materialize, small_batches, struct, table, with_key
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 5, 0.5
 #: Bytes that the windows of a broadcast benchmark may take in a worker; larger benchmarks are shuffle-joined.
@@ -374,8 +374,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     index = _index(benchmark)
     rows = _bounded(index, broadcast_bytes)
     if rows is None:
-        leaking = _judged(docs, benchmark, index).select(F.col("digest").alias("__leak")).distinct()
-        return docs.join(leaking, F.md5(docs["text"]) == F.col("__leak"), "left_anti")
+        leak = free_name(docs, "__leak")
+        leaking = _judged(docs, benchmark, index).select(F.col("digest").alias(leak)).distinct()
+        return docs.join(leaking, F.md5(docs["text"]) == F.col(leak), "left_anti")
     discard(index)
     matcher = _matcher(docs.sparkSession, rows)
     small_batches(docs.sparkSession)

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of added spans: the base kinds, and credentials.
@@ -462,7 +462,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Every row comes back, in its own columns; null texts stay null, empty ones empty; repeated rows are
     redacted each; an empty table gives an empty result.
     """
-    p = "__pii_"
+    p = free_name(docs, "__pii_")
     found = find_pii(docs, text, p)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     tagged = F.transform(F.concat(_base_spans(p), F.col(f"{p}added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("tag")))

@@ -208,10 +208,15 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     Two passes over the text (patterns, then verdicts): statistics are recomputed rather than
     stored beside a second copy of every text, so the stage needs no disk and no shuffle.
+
+    Null and empty texts have no words and go; rows are judged one by one by their text, so repeated
+    rows and rows that share or lack a doc_id stay or go together; an empty table gives an empty result.
     """
     posteriors = pattern_posteriors(with_votes(docs.select("text")))
-    kept = with_verdict(with_votes(docs), posteriors).where(f"`{_S}`.kept")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    # other columns travel in one struct, whatever their names
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    kept = with_verdict(with_votes(docs.select(rest.alias("rest"), "text")), posteriors).where(f"`{_S}`.kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

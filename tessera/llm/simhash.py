@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, struct, table, with_key
+from .common import discard, free_name, map_rows, materialize, struct, table, with_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 LIST_CAP = 64
@@ -368,21 +368,24 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one row of each group of near copies stays, with the same columns: its smallest doc_id.
 
     A row is known by doc_id and text, so rows that share or lack a doc_id go by their own groups;
-    null ids come last, and of one id the smallest hash of the text comes first.
+    null ids come last, and of one id the smallest hash of the text comes first.  Texts without words,
+    null ones among them, are copies of each other.  Of rows that repeat doc_id and text one stays;
+    an empty table gives an empty result.
     """
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "raw")
     found = _groups(docs)
     chosen = found.groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.raw")
     times = found.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("raw").alias("r"), "n")
     keep = chosen.join(times, chosen["doc_id"].eqNullSafe(times["d"]) & (chosen["raw"] == times["r"]), "left")
-    keep = materialize(keep.select(F.col("doc_id").alias("__keep"), F.col("raw").alias("__raw"), F.coalesce("n", F.lit(1)).alias("__times")), "dedup-keep")
+    p = free_name(docs, "__keep_")
+    keep = materialize(keep.select(F.col("doc_id").alias(f"{p}id"), F.col("raw").alias(f"{p}raw"), F.coalesce("n", F.lit(1)).alias(f"{p}times")), "dedup-keep")
     # the kept rows' ids and hashes are the build side; texts stream past unsorted
-    same = docs["doc_id"].eqNullSafe(F.col("__keep")) & (F.xxhash64(docs["text"]) == F.col("__raw"))
+    same = docs["doc_id"].eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(docs["text"]) == F.col(f"{p}raw"))
     kept_rows = docs.join(keep.hint("shuffle_hash"), same, "inner")
     columns = [f"`{c}`" for c in docs.columns]
-    once = kept_rows.where("__times = 1").select(*columns)
-    if keep.where("__times > 1").isEmpty():
+    once = kept_rows.where(F.col(f"{p}times") == 1).select(*columns)
+    if keep.where(F.col(f"{p}times") > 1).isEmpty():
         return once
     # rows that repeat doc_id and text: any one of them, chosen before the shuffle
-    again = kept_rows.where("__times > 1").dropDuplicates(["__keep", "__raw"]).select(*columns)
+    again = kept_rows.where(F.col(f"{p}times") > 1).dropDuplicates([f"{p}id", f"{p}raw"]).select(*columns)
     return once.unionByName(again)
