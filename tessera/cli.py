@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def title_of(config: ScanConfig, languages: tuple[str, ...]) -> str:
-    root = os.path.realpath(config.root)
+    root = config.root.rstrip("/") if "://" in config.root else os.path.realpath(config.root)
     name = os.path.basename(root)
     label = os.path.basename(os.path.dirname(root)) or name if name in ("src", "lib") else name
     if len(languages) > 1:
@@ -72,10 +72,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         print(e, file=err)
         return 2
     g = Gates(a.max_complexity, a.max_cognitive_complexity, a.max_params, a.max_nesting, a.max_lines, a.max_cycles)
-    if not os.path.isdir(a.path):
+    if not files.is_directory(a.path):
         print(f"not a directory: {a.path}", file=err)
         return 1
-    path = os.path.realpath(a.path)
+    path = a.path if "://" in a.path else os.path.realpath(a.path)
     config = ScanConfig(path, package=a.pkg, alias=a.alias, exclude=tuple(a.exclude), orm_methods=tuple(m.strip() for m in a.orm_check.split(",") if m.strip()), boundaries=boundaries, top=a.top, skip=frozenset(a.skip), gates=g)
     try:
         languages = tuple(lang for lang in LANGUAGES if getattr(a, lang)) or files.detect_languages(path)

@@ -99,6 +99,20 @@ def test_multi_language(spark, mixed):
     assert run(spark, mixed)[1].count("END OF REPORT") == 3
 
 
+def test_trees_in_stores(spark, mixed):
+    """A URI gives the report of the path, however many parts the listing has."""
+    one, two = (json.loads(run(spark, where, "--json")[1]) for where in (mixed, f"file://{mixed}"))
+    for doc in (one, two):
+        for lang in files.LANGUAGES:
+            del doc[lang]["scan_root"]
+    assert one == two
+    at = files.store(str(mixed))
+    for enough in (1, 2, 50):
+        heads = files._heads(*at, files.LIST_PRUNED, enough)
+        found = [p for top, deep in heads for p in ((p for p, _ in files.walk(at[0], top, files.LIST_PRUNED)) if deep else (f"{top}/{n}" for n, directory, _ in files._entries(at[0], top) if not directory))]
+        assert sorted(found) == sorted(p for p, _ in files.walk(*at, files.LIST_PRUNED)) and len(found) == 7
+
+
 def test_boundaries(spark, mixed):
     code, out, err = run(spark, mixed, "--typescript", "--boundary", "app/web:react,./b")
     assert code == 1 and "BOUNDARY VIOLATIONS: 2" in err and "app/web -> react" in out
