@@ -49,9 +49,16 @@ MIN_LISTS = 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of one whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return _fingerprint(_words(text), shingle)
+
+
+def _fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
@@ -68,13 +75,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(grams)).tobytes(), "big")
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): signed 64-bit fingerprints of all rows."""
 
     def kernel():
         def one(doc_id, text):
-            value = fingerprint(text, shingle)
-            return [(doc_id, value - (1 << 64) if value >> 63 else value)]
+            return [(doc_id, _signed(fingerprint(text, shingle)))]
 
         return one
 
@@ -82,8 +92,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -
 
 
 def _mask(block: tuple[int, ...]) -> int:
-    mask = sum(255 << (8 * p) for p in block)
-    return mask - (1 << 64) if mask >> 63 else mask
+    return _signed(sum(255 << (8 * p) for p in block))
 
 
 def index(distinct: DataFrame) -> DataFrame:
@@ -114,7 +123,9 @@ def links(distinct: DataFrame) -> DataFrame:
     # at most 33 members are within one open bit of ``at``
     met = met.groupBy("slot", "bytes", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.unionByName(stars).distinct()
+    found = materialize(pairs.unionByName(stars).distinct(), "simhash-links")
+    discard(lists)
+    return found
 
 
 def named_by_smallest(members: DataFrame, salts: int = 16) -> DataFrame:
@@ -153,16 +164,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of ``fps(doc_id, fp)``; component_id is the smallest doc_id reachable."""
+    """``fps(doc_id, fp)``, with any more columns, and component_id, the smallest doc_id reachable."""
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    edges = materialize(links(classes.select("fp")), "simhash-links")
+    edges = links(classes.select("fp"))
     if edges.isEmpty():
         tied = classes.select("fp", F.col("first").alias("component_id"))
     else:
         roots = components(edges)
+        discard(edges)
         labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         tied = named_by_smallest(labelled).select("fp", "component_id")
-    return fps.join(tied, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(tied, "fp").select(*fps.columns, "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +186,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies at five words and a similarity of 0.8 ---------------------------------------------
 #
-# Texts that share 0.8 of their five-word shingles differ in some 8 of 64 SimHash bits of the
-# shingles: no byte need agree, and how many do depends on the kind of edit.  The index of this stage
-# therefore posts shingles themselves, by prefix filtering, which finds every pair whatever the edit:
-# with the shingles of all texts in one order, two sets of similarity 0.8 or more have a member in
-# common among the first n - ceil(0.8 n) + 1 of each.  Any order is right; the shingles that a sample
-# of the texts shows to be common come last, so that a common passage makes no long list.
+# The groups come from the operator above: the texts' fingerprints, posted under their positional
+# bytes, tallied over the lists, tied into components.  An exact check follows: each member of a
+# component is held against its most copied one on the five-word shingles.
+#
+# Texts that share 0.8 of their shingles can differ in more than 2 of 64 SimHash bits, some 8 on
+# average: no byte need agree, and how many do depends on the kind of edit.  Links that the
+# fingerprints do not show, or that the check against one member leaves open, are found by prefix
+# filtering on the shingles, whatever the edit: with the shingles of all texts in one order, two sets
+# of similarity 0.8 or more have a member in common among the first n - ceil(0.8 n) + 1 of each.  Any
+# order is right; the shingles that a sample of the texts shows to be common come last, so that a
+# common passage makes no long list.
 #
 # Two bounds, neither of which a linked pair can miss, spare most proposals the verification: by the
 # places of the shared shingle, and by a parity sketch (the exclusive or of one bit per shingle),
@@ -196,10 +213,6 @@ SAMPLED, COMMON, COMMONS = 16, 4, 100_000
 BROADCAST_TEXTS = 1_000_000
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
 def _text_hash(words: list[bytes]) -> int:
     """63-bit hash of a text's lower-cased words: equal for exact copies."""
     return xxhash.xxh64_intdigest(b" ".join(words), SEED) >> 1
@@ -236,18 +249,18 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw, text_hash, size, s0..s7, prefix) of every row; raw is a hash of the text as it stands."""
+    """(doc_id, raw, text_hash, fp, size, s0..s7, prefix) of every row; raw is a hash of the text as it stands."""
     common, counts = _common(docs)
 
     def kernel():
         def one(doc_id, raw, text):
             words = _words(text)
             grams = shingle_hashes(words)
-            return [(doc_id, raw, _text_hash(words), len(grams), *sketch(grams), prefix(grams, common, counts))]
+            return [(doc_id, raw, _text_hash(words), _signed(_fingerprint(words)), len(grams), *sketch(grams), prefix(grams, common, counts))]
 
         return one
 
-    spec = "raw long, text_hash long, size long, " + ", ".join(f"{c} long" for c in SKETCH) + ", prefix array<long>"
+    spec = "raw long, text_hash long, fp long, size long, " + ", ".join(f"{c} long" for c in SKETCH) + ", prefix array<long>"
     return map_rows(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text"), ["doc_id", "raw", "text"], kernel, with_key(docs, "doc_id", spec))
 
 
@@ -310,6 +323,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, tallied: bool
     return found
 
 
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """(a, b): each text of a component of fingerprints with the component's most copied text."""
+    found = near_duplicates(texts.select(F.col("id").alias("doc_id"), "fp", "copies"))
+    # of these the smallest is the most copied, of equally copied ones that of the smallest id
+    members = found.select(F.struct((-F.col("copies")).alias("copies"), F.col("doc_id").alias("id")).alias("first"), F.col("component_id").alias("root"))
+    hubs = named_by_smallest(members).select(F.col("first.id").alias("id"), F.col("component_id.id").alias("hub")).where("id <> hub")
+    return hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, component_id): groups of near copies, component_id being the smallest doc_id reachable."""
     return _groups(docs).select("doc_id", "text_hash", "component_id")
@@ -318,14 +340,15 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame) -> DataFrame:
     """(doc_id, raw, text_hash, root, component_id) of every row.
 
-    Equal texts are one row from the start.  Families are variants of one text, so each text first
-    tries the most copied text that it meets in any list.  Where members of a list are still apart,
-    every pair of different components is then verified: what is left out is tied already.
+    Equal texts are one row from the start.  The index of fingerprints proposes first.  Families are
+    variants of one text, so each text then tries the most copied text that it meets in any list of
+    shingles, where the two are not tied yet.  Where members of a list are still apart, every pair of
+    different components is then verified: what is left out is tied already.
     """
     digests = materialize(_digests(docs), "dedup-digests")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
-    texts = digests.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "prefix")])
-    texts = materialize(texts.select("id", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "copies", "size", *SKETCH, "prefix"), "dedup-texts")
+    texts = digests.groupBy(F.col("text_hash").alias("id")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", *SKETCH, "prefix")])
+    texts = materialize(texts.select("id", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "copies", "fp", "size", *SKETCH, "prefix"), "dedup-texts")
     rows = materialize(digests.select("doc_id", "raw", "text_hash"), "dedup-rows")
     discard(digests)
     lists = materialize(_lists(texts), "dedup-lists")
@@ -335,7 +358,11 @@ def _groups(docs: DataFrame) -> DataFrame:
     best = lists.select("list", F.struct("id", "size", "at").alias("p")).join(centre, "list").where("p.id <> c.id").where(_within_places("p.", "c."))
     best = best.groupBy("p.id").agg(F.max_by("c.id", F.struct("c.copies", -F.col("c.id"))).alias("centre"))
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    tied = _verified(spokes, docs, texts)
+    shown = _verified(_by_fingerprint(texts), docs, texts)
+    roots = _roots(texts, shown)
+    spokes = spokes.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").where("root_a <> root_b").select("a", "b")
+    more = _verified(spokes, docs, texts)
+    tied = shown.unionByName(more)
     roots = _roots(texts, tied)
     # the pairs of different components: one side at least is outside the list's largest component
     apart = lists.join(roots, "id")
@@ -352,7 +379,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     roots = _roots(texts, tied.unionByName(rest))
     grouped = roots.join(texts.select("id", "first"), "id")
     named = materialize(named_by_smallest(grouped).select(F.col("id").alias("text_hash"), "root", "component_id"), "dedup-named")
-    discard(apart, tied, rest, texts)
+    discard(apart, shown, more, rest, texts)
     return rows.join(named, "text_hash")
 
 

@@ -158,6 +158,32 @@ def test_every_kind_of_edit(spark, long):
     assert len(set(want.values())) < 0.8 * len(rows) and got == want
 
 
+def test_fingerprint_index_proposes_near_copies(spark, monkeypatch):
+    """Without any posting of shingles the index of fingerprints ties the copies within 2 bits; alike fingerprints of unlike texts are not tied."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        base = [f"u{rng.getrandbits(40):x}" for _ in range(600)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, "end"]))]
+    line = " ".join(f"l{i}" for i in range(21))
+    for _ in range(2):  # a line repeated decides both fingerprints, and few of the distinct shingles
+        rows.append((len(rows), " ".join([line] * 200 + [f"v{rng.getrandbits(40):x}" for _ in range(100)])))
+    prints, sets = {k: brute_fingerprint(t) for k, t in rows}, {k: shingles(t) for k, t in rows}
+    close = lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 2
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    assert close(80, 81) and not alike(80, 81)
+    pairs = [(k, k + 1) for k in range(0, 80, 2)]
+    shown = [p for p in pairs if close(*p)]
+    assert 10 < len(shown) < 40 and all(alike(*p) for p in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(docs).collect()}
+    assert got == {k: min(k, k - k % 2) if k < 80 else k for k, _ in rows}
+    lists = simhash._lists
+    monkeypatch.setattr(simhash, "_lists", lambda texts: lists(texts).where("false"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(docs).collect()}
+    assert got == {k: dict((b, a) for a, b in shown).get(k, k) for k, _ in rows}
+
+
 def test_rows_that_share_or_lack_an_id(spark):
     text = lambda seed: " ".join(f"w{random.Random(f'{seed}{i}').getrandbits(30)}" for i in range(60))
     near = text("a").rsplit(" ", 2)[0] + " other end"
