@@ -31,6 +31,7 @@ import unicodedata
 from array import array
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,8 @@ from .common import WordCache, kept, map_rows, table, with_key
 
 #: The vocabulary file of the query; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
+#: Entries of each memo, twice at most; in the pipeline, whose executors hold more beside it, fewer.
+MEMOS, STAGE_MEMOS = 200_000, 100_000
 #: Unicode White_Space, which the file's ``\\s`` stands for.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -158,7 +161,7 @@ class PrefixBPE:
 class WordTokenizer:
     """The whole pipeline of a word-end BPE file: special strings, normalisation, pieces, ids, decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memos: int = MEMOS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -174,8 +177,8 @@ class WordTokenizer:
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.chunks = re.compile(f"[^{WHITE}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
-        self.words = WordCache(self._word, 200_000)
-        self.cache = WordCache(self._chunk, 200_000)
+        self.words = WordCache(self._word, memos)
+        self.cache = WordCache(self._chunk, memos)
 
     def _word(self, piece: str) -> tuple[bytes, bytes]:
         """(ids, token strings) of one piece."""
@@ -227,20 +230,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
-def tokenizer(vocabulary: str = VOCABULARY) -> WordTokenizer:
+def tokenizer(vocabulary: str = VOCABULARY, memos: int = MEMOS) -> WordTokenizer:
     """The tokenizer of this worker process, built once."""
-    return kept(f"bpe:{vocabulary}", lambda: WordTokenizer(vocabulary_path(vocabulary)))
+    return kept(f"bpe:{vocabulary}:{memos}", lambda: WordTokenizer(vocabulary_path(vocabulary), memos))
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens, ids, decoded): real ids and decoded text of every row."""
 
     def kernel():
-        tok = tokenizer(vocabulary)
+        tok = tokenizer(vocabulary, STAGE_MEMOS)
 
         def one(doc_id, text):
             raw, decoded = tok.encode_bytes(text)
-            return [(doc_id, len(raw) // 4, list(_struct.unpack(f"<{len(raw) // 4}I", raw)), decoded.decode())]
+            return [(doc_id, len(raw) // 4, np.frombuffer(raw, dtype="<i4"), decoded.decode())]
 
         return one
 

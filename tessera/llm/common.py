@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -112,6 +114,19 @@ class WordCache(dict):
         return value
 
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _malloc_trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker process lives on, idle, beside steps that need none of it."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 #: The model that a worker process holds between tasks, under a key that names it exactly.
 _KEPT: dict[str, Any] = {}
 
@@ -119,11 +134,19 @@ _KEPT: dict[str, Any] = {}
 def kept(key: str, build: Callable[[], Any]) -> Any:
     """``build()`` once per worker process and ``key``; the model of another step makes way."""
     if key not in _KEPT:
-        _KEPT.clear()
+        release()
         _KEPT[key] = build()
     return _KEPT[key]
 
 
+def release() -> None:
+    """Let go of the model of an earlier step, which a worker process would hold through steps that use none."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    trim()
+
+
 #: Rows of one Arrow batch to a Python worker: with 10,000 texts, Spark's default, a batch alone takes 100 MB.
 BATCH_ROWS = 1000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -162,6 +185,7 @@ def map_rows(df: DataFrame, columns: Sequence[str], kernel: Callable[[], Callabl
             if rows:
                 yield flush()
                 rows = []
+        trim()
 
     return df.select(*[f"`{c}`" for c in columns]).mapInArrow(run, schema)
 
@@ -189,6 +213,7 @@ def map_texts(df: DataFrame, key: str, kernel: Callable[[], Callable[[list], lis
                     rows = [(k, *r) for k, r in zip(keys[start : i + 1], f(texts[start : i + 1]))]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
                     start, size = i + 1, 0
+        trim()
 
     return df.select(f"`{key}`", "text").mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, struct, table
+from .common import materialize, release, small_batches, struct, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -97,6 +97,7 @@ def text_stats(text: str | None) -> tuple:
 
 @F.pandas_udf(STATS)
 def _stats_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    release()
     for batch in texts:
         yield pd.DataFrame([text_stats(t) for t in batch], columns=STAT_NAMES)
 

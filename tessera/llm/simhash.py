@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, map_rows, materialize, struct, table, with_key
+from .common import discard, free_name, map_rows, materialize, release, struct, table, with_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 LIST_CAP = 64
@@ -253,6 +253,8 @@ def _digests(docs: DataFrame) -> DataFrame:
     common, counts = _common(docs)
 
     def kernel():
+        release()
+
         def one(doc_id, raw, text):
             words = _words(text)
             grams = shingle_hashes(words)

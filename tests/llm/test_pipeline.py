@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import bpe, decontam, quality
+from tessera.llm import bpe, common, decontam, quality, simhash
 
 from .test_pii import brute as brute_pii
 from .test_simhash import brute_components, shingles
@@ -36,3 +36,18 @@ def test_pipeline(spark, sf_dir):
     assert set(got) == set(want)
     same = sum(got[d] == want[d] for d in want)
     assert same >= 0.98 * len(want)  # the trees may add a span that the base rules lack
+
+
+def test_workers_hold_no_model_of_another_stage(spark, sf_dir, monkeypatch):
+    """Workers live through all stages: near_dedup's own steps let an earlier model go, and the last stage's memos are smaller."""
+    kernels, real = [], simhash.map_rows
+    monkeypatch.setattr(simhash, "map_rows", lambda df, columns, kernel, schema: kernels.append(kernel) or real(df, columns, kernel, schema))
+    simhash._digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    monkeypatch.setattr(common, "_KEPT", {"an earlier step": object()})
+    kernels[-1]()
+    assert not common._KEPT
+    monkeypatch.setattr(bpe, "map_rows", lambda df, columns, kernel, schema: kernels.append(kernel))
+    bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kernels[-1]()
+    (tokenizer,) = common._KEPT.values()
+    assert tokenizer.words.cap == tokenizer.cache.cap == 100_000
