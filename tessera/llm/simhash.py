@@ -186,9 +186,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies at five words and a similarity of 0.8 ---------------------------------------------
 #
-# The groups come from the operator above: the texts' fingerprints, posted under their positional
-# bytes, tallied over the lists, tied into components.  An exact check follows: each member of a
-# component is held against its most copied one on the five-word shingles.
+# The operator above proposes first: the texts' fingerprints, posted under their positional bytes,
+# tallied over the lists, tied into components.  An exact check follows: each member of a component
+# is held against its most copied one on the five-word shingles.  On sf0.1 that ties 1 of 48.
 #
 # Texts that share 0.8 of their shingles can differ in more than 2 of 64 SimHash bits, some 8 on
 # average: no byte need agree, and how many do depends on the kind of edit.  Links that the
