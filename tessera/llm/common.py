@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,11 +52,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tessera-{context.applicationId}"
 
 
+#: Whether this JVM can be asked to give native memory back: known after the first try.
+_TRIMS = [True]
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM give native memory that it has freed back to the system (what ``jcmd System.trim_native_heap`` does).
+
+    Compiling the code of many queries leaves some 200 MB of it with the allocator.  False where the JVM cannot.
+    """
+    if _TRIMS[0]:
+        try:
+            jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+            kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+            for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+                kinds[k] = jvm.java.lang.Class.forName(name)
+            args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+            # by the interface: the server's own class is not open to reflection
+            invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+            invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+        except Py4JError:  # another JVM or C library
+            _TRIMS[0] = False
+    return _TRIMS[0]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and reread (same columns and types)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     written = spark.read.schema(df.schema).parquet(path)
     written.__dict__["_tessera_path"] = path
     return written

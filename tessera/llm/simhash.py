@@ -140,14 +140,25 @@ def named_by_smallest(members: DataFrame, salts: int = 16) -> DataFrame:
     return dealt.join(spread, ["root", "_salt"], "left").withColumn("component_id", F.coalesce("component_id", "first")).drop("_salt")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct ``edges(a, b)``, a > b, are stars around smallest nodes: no node has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("n")))
+    # a leaf has one end of its own; a centre has only others'
+    ends = ends.groupBy("node").agg(F.sum("n").alias("smaller"), F.min("n").alias("least"))
+    return ends.where("smaller > 1 OR smaller = 1 AND least = 0").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): connected components of ``edges(a, b)``, the root being the smallest node.
 
     Alternates large-star (each node's larger neighbours go to its smallest neighbour) with
-    small-star (its smaller neighbours and itself go there), until nothing changes.
+    small-star (its smaller neighbours and itself go there), until all components are stars, which
+    neither would change.  The driver keeps a record of every query, so there is one check a round.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components-0")
     for turn in range(1, max_rounds):
+        if _settled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -155,11 +166,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct()
         after = materialize(small, f"components-{turn}")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
         discard(edges)
         edges = after
-        if same:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -294,6 +302,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, tallied: bool
         near = pairs.join(short.toDF("a", *[f"a_{c}" for c in short.columns[1:]]), "a").join(short.toDF("b", *[f"b_{c}" for c in short.columns[1:]]), "b")
         pairs = near.where(_plausible("a_", "b_")).select("a", "b")
     pairs = materialize(pairs, "dedup-pairs")
+    if pairs.isEmpty():
+        return pairs
     wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(texts.select("id", "first", "raw"), "id"), "dedup-wanted")
     # each text is read from one document that has it; only those texts leave the JVM
     firsts = wanted.select(F.col("first").alias("__first"), F.col("raw").alias("__raw")).distinct()
@@ -361,11 +371,12 @@ def _groups(docs: DataFrame) -> DataFrame:
     best = best.groupBy("p.id").agg(F.max_by("c.id", F.struct("c.copies", -F.col("c.id"))).alias("centre"))
     spokes = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     shown = _verified(_by_fingerprint(texts), docs, texts)
-    roots = _roots(texts, shown)
+    ties = _tied(None, shown)
+    roots = _roots(texts, ties)
     spokes = spokes.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").where("root_a <> root_b").select("a", "b")
     more = _verified(spokes, docs, texts)
-    tied = shown.unionByName(more)
-    roots = _roots(texts, tied)
+    ties = _tied(ties, more)
+    roots = _roots(texts, ties)
     # the pairs of different components: one side at least is outside the list's largest component
     apart = lists.join(roots, "id")
     counted = apart.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -378,19 +389,25 @@ def _groups(docs: DataFrame) -> DataFrame:
     met = met.where(_within_places("p.", "q.") & _plausible("p.", "q."))
     rest = met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
     rest = _verified(rest, docs, texts, tallied=True)
-    roots = _roots(texts, tied.unionByName(rest))
+    roots = _roots(texts, _tied(ties, rest))
     grouped = roots.join(texts.select("id", "first"), "id")
     named = materialize(named_by_smallest(grouped).select(F.col("id").alias("text_hash"), "root", "component_id"), "dedup-named")
     discard(apart, shown, more, rest, texts)
     return rows.join(named, "text_hash")
 
 
-def _roots(texts: DataFrame, edges: DataFrame) -> DataFrame:
+def _tied(ties: DataFrame | None, more: DataFrame) -> DataFrame | None:
+    """Components (node, root), or None for none, after ``more(a, b)`` links: the stars so far stand for the links that made them."""
+    if more.isEmpty():
+        return ties
+    return components(more if ties is None else more.unionByName(ties.toDF("a", "b")))
+
+
+def _roots(texts: DataFrame, ties: DataFrame | None) -> DataFrame:
     """(id, root) of every text."""
-    if edges.isEmpty():
+    if ties is None:
         return texts.select("id", F.col("id").alias("root"))
-    found = components(edges)
-    return texts.select("id").join(found, texts["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+    return texts.select("id").join(ties, texts["id"] == ties["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 
 import public_tokenizers
+from py4j.protocol import Py4JError
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,3 +52,22 @@ def test_workers_hold_no_model_of_another_stage(spark, sf_dir, monkeypatch):
     kernels[-1]()
     (tokenizer,) = common._KEPT.values()
     assert tokenizer.words.cap == tokenizer.cache.cap == 100_000
+
+
+def test_driver_gives_freed_memory_back(spark, monkeypatch):
+    """Each intermediate has the driver's JVM return freed native memory; a JVM that cannot is asked once."""
+    asked, real = [], common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda session: asked.append(real(session)))
+    assert common.materialize(spark.range(3), "trimmed").count() == 3
+    assert asked == [True]
+
+    class Other:
+        tries = 0
+
+        @property
+        def sparkContext(self):
+            Other.tries += 1
+            raise Py4JError("no such operation")
+
+    monkeypatch.setattr(common, "_TRIMS", [True])
+    assert not real(Other()) and not real(Other()) and Other.tries == 1

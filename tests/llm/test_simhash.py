@@ -200,3 +200,38 @@ def test_broadcast_and_join_agree(spark, sf_dir, monkeypatch):
     one = sorted(map(tuple, simhash.near_copy_groups(docs).collect()))
     monkeypatch.setattr(simhash, "BROADCAST_TEXTS", 0)
     assert sorted(map(tuple, simhash.near_copy_groups(docs).collect())) == one
+
+
+def executions(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_components_in_few_queries(spark):
+    """Components are those of a search, whatever the graph; what is settled already costs one write and one check, as the driver keeps every query."""
+    rng = random.Random(5)
+    path = [(k, k + 1) for k in range(40)]
+    mixed = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(9, 9), (8, 7), (7, 8)]
+    stars = [(hub, hub + k) for hub in (1000, 2000, 3000) for k in range(1, 20)]
+    for pairs in (path, mixed, stars, stars + [(1001, 1002)], stars + [(1000, 2000)], [(5, 1), (5, 2)], [(1, 5), (5, 9)], []):
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        before = executions(spark)
+        found = simhash.components(edges)
+        used = executions(spark) - before
+        linked = {frozenset(p) for p in pairs}
+        nodes = sorted({x for p in pairs for x in p})
+        want = brute_components([(x, x) for x in nodes], lambda x, y: frozenset((x, y)) in linked)
+        assert sorted(map(tuple, found.collect())) == sorted((x, r) for x, r in want.items() if x != r)
+        if pairs in (stars, []):
+            assert used <= 2
+
+
+def test_groups_without_links_need_few_queries(spark):
+    """Texts that share shingles with no other propose no pair, so nothing is read or checked for pairs."""
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(80))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = executions(spark)
+    found = simhash.near_copy_groups(docs)
+    used = executions(spark) - before
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(k, k) for k, _ in rows}
+    assert used <= 22
